@@ -40,14 +40,16 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of what a scan reads, in bytes; used to size buckets, never to change results."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Catalyst's sizes of the plan's leaves, in bytes (0 where unknown); used to size buckets, never to change results."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def buckets_for(df: DataFrame, bytes_each: int, least: int = 16, most: int = 1 << 20) -> int:
     """A power of two of buckets, so that each gets about bytes_each of the input."""
-    n = least
-    while n < most and n * bytes_each < input_bytes(df):
+    n, size = least, input_bytes(df)
+    while n < most and n * bytes_each < size:
         n *= 2
     return n
 

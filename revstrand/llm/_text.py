@@ -112,7 +112,7 @@ def ngrams(words: np.ndarray, off: np.ndarray, n: int, seed: int = 0) -> tuple[n
     at = np.arange(to[-1]) + np.repeat(off[:-1] - to[:-1], count)
     h = np.full(max(len(words) - n + 1, 0), _U(seed * 2 + 1))
     for k in range(n):
-        h = h * _U(0xC2B2AE3D27D4EB4F) + words[k : len(words) - n + 1 + k]
+        h = h * _U(0xC2B2AE3D27D4EB4F) + words[k : k + len(h)]
     return mix(h[at]) if len(at) else np.zeros(0, np.uint64), at, to
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sql
+from . import chat, mixing, sql, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op2_chat_format": chat.op2_chat_format,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op8_pareto_mix": mixing.op8_pareto_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.ORACLE, "op8_pareto_mix": sql.MIX}
+    return {"op2_chat_format": chat.ORACLE, "op5_substring_dedup": sql.SUBSTRING, "op8_pareto_mix": sql.MIX}

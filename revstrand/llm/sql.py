@@ -45,3 +45,27 @@ WITH d AS (
 SELECT p.doc_id, p.size, p.source_size, p.target, ((p.whole + CASE WHEN x.one THEN 1 ELSE 0 END) * p.size)::BIGINT AS taken
 FROM p LEFT JOIN x ON p.source IS NOT DISTINCT FROM x.xs AND p.doc_id = x.xd
 """
+
+SUBSTRING = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13
+), g AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM s
+), m AS (
+  SELECT h, min(doc_id) AS first FROM g GROUP BY h
+), r AS (
+  SELECT DISTINCT g.doc_id, unnest(range(g.i, g.i + 13)) AS p FROM g JOIN m USING (h) WHERE m.first < g.doc_id
+), k AS (
+  SELECT doc_id, list(p) AS gone FROM r GROUP BY doc_id
+), e AS (
+  SELECT d.doc_id, d.w, coalesce(k.gone, []) AS gone FROM d LEFT JOIN k USING (doc_id)
+), p AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM e
+), kept AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS t FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.p = p.i WHERE r.p IS NULL GROUP BY p.doc_id
+)
+SELECT e.doc_id, len(e.w)::BIGINT AS n_words, len(e.gone)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM e LEFT JOIN kept USING (doc_id)
+"""
