@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sql, substring_dedup
+from . import chat, mixing, near_dup, sql, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_chat_format": chat.op2_chat_format,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op8_pareto_mix": mixing.op8_pareto_mix,
+        "op10_near_dup": near_dup.op10_near_dup,
     }
 
 
