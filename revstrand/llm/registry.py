@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, near_dup, sql, substring_dedup
+from . import chat, language, mixing, near_dup, quality, sql, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language.op1_language_id,
         "op2_chat_format": chat.op2_chat_format,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op7_toxic_segments": toxicity.op7_toxic_segments,
         "op8_pareto_mix": mixing.op8_pareto_mix,
+        "op9_line_crf_quality": quality.op9_line_crf_quality,
         "op10_near_dup": near_dup.op10_near_dup,
     }
 
