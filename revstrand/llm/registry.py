@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, near_dup, quality, sql, substring_dedup, toxicity
+from . import chat, decontaminate, language, mixing, near_dup, quality, sql, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language.op1_language_id,
         "op2_chat_format": chat.op2_chat_format,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op7_toxic_segments": toxicity.op7_toxic_segments,
         "op8_pareto_mix": mixing.op8_pareto_mix,
