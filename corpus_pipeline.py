@@ -1,23 +1,66 @@
-"""Corpus pipeline: stages that each read the table their predecessor wrote (filled in as the operators arrive)."""
+"""Corpus pipeline: five stages, each on the table that its predecessor wrote.
+
+Every stage takes (spark, docs, sf_dir) and returns the columns of `documents`; the last one adds how often a document is
+taken. Rows without doc_id can't be told apart and pass the two stages that compare documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from revstrand.llm import decontaminate, language, mixing, near_dup, substring_dedup
+from revstrand.llm._spark import cut, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document goes if more than this share of it is explained by no learned language.
+MOST_OTHER = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those that are mostly of no language."""
+    model = language.train(docs)
+    return language.identify(docs.select(COLUMNS), model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("other") <= MOST_OTHER)).select(COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each class of near duplicates."""
+    first = near_dup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
+    kept = docs.select(COLUMNS).join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(COLUMNS)
+    return kept.unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that an earlier document has; documents that had words and have none left go."""
+    kept = substring_dedup.dedup(docs, keep=("lang", "source", "n_chars")).where("n_words = 0 OR n_removed < n_words")
+    return kept.select("doc_id", "text", "lang", "source", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
 
-from revstrand.llm import mixing
-from revstrand.llm._spark import cut
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes documents that hold a benchmark passage."""
+    return decontaminate.find(docs.select(COLUMNS), table(spark, sf_dir, "benchmark")).where("size(leaks) = 0").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, keep=("text", "lang", "source", "n_chars"))
+    """Takes each document `copies` times, so that sources meet their targets; documents taken never go."""
+    mixed = mixing.mix(docs, keep=("text", "lang", "n_chars"), keep_source=True)
+    return mixed.where("copies > 0").select(*COLUMNS, "size", "source_size", "target", "taken", "copies")
 
 
-STAGES = [("mix", mix_sources)]
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeated_passages),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+#: Language inference and near duplicates can't be written in SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -57,8 +57,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataF
     return t.select("source", "source_size", F.coalesce(at, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = "", bins: int = BINS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies (and the columns in `keep`) of each row of docs(doc_id, text, source).
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = "", bins: int = BINS, keep: tuple[str, ...] = (), keep_source: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies (and `source` and the columns in `keep`) of each row of docs(doc_id, text, source).
 
     Null or empty text: size 0, taken 0. Null source: a source of its own, last. Rows with one doc_id (repeats) have equal
     ranks; ties go by size. An empty table gives an empty result. Reruns agree: ranks depend on doc_id and `seed` alone.
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = "
     closes = (F.col("doc_id") == F.col("cd")) & (F.col("size") == F.col("cs"))
     extra = F.when((F.col("part") > 0) & (inside | F.coalesce(closes, F.lit(False))), 1).otherwise(0)
     done = done.withColumn("copies", (F.col("whole") + extra).cast("long"))
-    return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(f"_k_{c}").alias(c) for c in keep])
+    return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *(["source"] if keep_source else []), *[F.col(f"_k_{c}").alias(c) for c in keep])
 
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,23 +246,23 @@ class FingerprintIndex:
 
 
 def _packed_texts(docs: DataFrame, groups: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """grp, doc_id, z: texts compressed for the shuffle."""
-    schema = pa.schema([("grp", pa.int32()), ("doc_id", pa.int64()), ("z", pa.binary())])
+    """grp, doc_id, z and the columns in `keep`: texts compressed for the shuffle."""
 
     def go(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
         for b in X.pieces(batches):
             ids = np.asarray(b.column("doc_id"), np.int64)
-            z = [squeeze.compress((t or "").encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(_group_of(ids, groups)), pa.array(ids), pa.array(z, pa.binary())], schema=schema)
+            z = [None if t is None else squeeze.compress(t.encode()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(_group_of(ids, groups)), pa.array(ids), pa.array(z, pa.binary()), *(b.column(c) for c in keep)], names=["grp", "doc_id", "z", *keep])
 
-    return docs.select("doc_id", "text").mapInArrow(go, "grp int, doc_id long, z binary")
+    kinds = dict(docs.dtypes)
+    return docs.select("doc_id", "text", *keep).mapInArrow(go, ", ".join(["grp int, doc_id long, z binary", *(f"`{c}` {kinds[c]}" for c in keep)]))
 
 
-def _texts(t: pa.Table) -> pa.RecordBatch:
+def _texts(t: pa.Table, keep: tuple[str, ...] = ()) -> pa.RecordBatch:
     loose = zstandard.ZstdDecompressor()
-    body = [loose.decompress(z).decode() for z in t.column("z").to_pylist()]
-    return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(body, pa.large_string())], names=["doc_id", "text"])
+    body = [None if z is None else loose.decompress(z).decode() for z in t.column("z").to_pylist()]
+    return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks(), pa.array(body, pa.large_string()), *(t.column(c).combine_chunks() for c in keep)], names=["doc_id", "text", *keep])
 
 
 def _hit_mask(docs: np.ndarray, keys: list[np.ndarray], h_docs: np.ndarray, h_keys: list[np.ndarray]) -> np.ndarray:
@@ -321,50 +321,64 @@ def repeats(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None =
     return rows.groupBy("bucket").applyInArrow(_merge(groups, False, False), MERGED).drop("kind"), groups
 
 
-def dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the kept words joined by one space) of every row of docs(doc_id, text).
+def dedup(docs: DataFrame, batches: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the kept words joined by one space), text and the columns in `keep` of every row of docs.
 
-    Null or empty text: no words, kept ''. Documents of under 13 words keep everything. Rows with the same doc_id are one
-    document to each other: their windows don't count against themselves. Null doc_id: kept whole, and counts against none.
-    An empty table gives an empty result.
+    `text` is the row's own text where nothing was removed, else `kept`. Null or empty text: no words, kept ''. Documents of
+    under 13 words keep everything. Rows with the same doc_id are one document to each other: their windows don't count
+    against themselves. Null doc_id: kept whole, and counts against none. An empty table gives an empty result.
     """
-    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits, groups = repeats(known, batches)
+    kinds = dict(docs.dtypes)
+    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
+    hits, groups = repeats(known.select("doc_id", "text"), batches)
 
     def final(texts: pa.Table, found: pa.Table) -> pa.Table:
         out = []
         if texts.num_rows:
             h_docs, h_keys, _ = _unpack(found)
-            for b in X.pieces([_texts(texts)]):
+            for b in X.pieces([_texts(texts, keep)]):
                 data, starts, ends, to, (h, h2) = _words(b, (0, 1))
                 ids = np.asarray(b.column("doc_id"), np.int64)
                 one, at, w_to = X.ngrams(h, to, WINDOW)
                 gone = np.zeros(len(starts) + 1, np.int32)
                 if len(h_docs) and len(at):
                     two = X.ngrams(h2, to, WINDOW, 1)[0]
-                    on = _hit_mask(ids[X.owners(w_to)], [one, two], h_docs, h_keys if len(h_keys) == 2 else [h_keys[0]] * 2)
-                    np.add.at(gone, at[on], 1)
-                    np.add.at(gone, at[on] + WINDOW, -1)
+                    on = at[_hit_mask(ids[X.owners(w_to)], [one, two], h_docs, h_keys)]
+                    gone += np.bincount(on, minlength=len(gone)).astype(np.int32)
+                    gone -= np.bincount(on + WINDOW, minlength=len(gone)).astype(np.int32)
                 gone = np.cumsum(gone[:-1]) > 0
-                body, kept = data.tobytes(), []
                 lost = np.concatenate([[0], np.cumsum(gone)])
+                removed = lost[to[1:]] - lost[to[:-1]]
+                body, kept, text = data.tobytes(), [], b.column("text").to_pylist()
+                byte_to = X.raw(b.column("text"))[1]
                 for i in range(len(ids)):
-                    a, z = to[i], to[i + 1]
-                    stay = np.flatnonzero(~gone[a:z]) + a if lost[z] > lost[a] else range(a, z)
-                    kept.append(b" ".join([body[s:e] for s, e in zip(starts[stay] if len(stay) else (), ends[stay] if len(stay) else ())]).decode())
-                out.append(pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(to)), pa.array(lost[to[1:]] - lost[to[:-1]]), pa.array(kept, pa.string())], schema=schema))
-        return pa.Table.from_batches(out, schema=schema)
+                    if removed[i]:
+                        stay = np.flatnonzero(~gone[to[i] : to[i + 1]]) + to[i]
+                        kept.append(b" ".join([body[s:e] for s, e in zip(starts[stay].tolist(), ends[stay].tolist())]).decode())
+                        text[i] = kept[-1]
+                    else:
+                        kept.append(b" ".join(body[byte_to[i] : byte_to[i + 1]].split()).decode())
+                out.append(pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(to)), pa.array(removed), pa.array(kept, pa.string()), pa.array(text, pa.string()), *(b.column(c) for c in keep)], names=names))
+        return pa.Table.from_batches(out)
+
+    names = ["doc_id", "n_words", "n_removed", "kept", "text", *keep]
+    schema = ", ".join(["doc_id long, n_words long, n_removed long, kept string, text string", *(f"`{c}` {kinds[c]}" for c in keep)])
+
+    def settled(texts: pa.Table, found: pa.Table) -> pa.Table:
+        if texts.num_rows:
+            return final(texts, found)
+        cols = [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())]
+        return pa.Table.from_arrays([*cols, *(texts.column(c) for c in keep)], names=names)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-    done = _packed_texts(known, groups).groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(final, "doc_id long, n_words long, n_removed long, kept string")
+    done = _packed_texts(known, groups, keep).groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(settled, schema)
 
     def whole(batches):
         for b in X.pieces(batches):
             t = [" ".join(x.decode() for x in (t or "").encode().split()) for t in b.column("text").to_pylist()]
             n = [len(x.split(" ")) if x else 0 for x in t]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), pa.array(n, pa.int64()), pa.array([0] * len(t), pa.int64()), pa.array(t, pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), pa.array(n, pa.int64()), pa.array([0] * len(t), pa.int64()), pa.array(t, pa.string()), b.column("text"), *(b.column(c) for c in keep)], names=names)
 
-    return done.unionByName(docs.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(whole, "doc_id long, n_words long, n_removed long, kept string"))
+    return done.unionByName(docs.where("doc_id IS NULL").select("doc_id", "text", *keep).mapInArrow(whole, schema))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
