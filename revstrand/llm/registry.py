@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, near_dup, quality, sql, substring_dedup, toxicity
+from . import chat, decontaminate, language, mixing, near_dup, quality, sql, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_chat_format": chat.op2_chat_format,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_token_counts": token_counts.op6_token_counts,
         "op7_toxic_segments": toxicity.op7_toxic_segments,
         "op8_pareto_mix": mixing.op8_pareto_mix,
         "op9_line_crf_quality": quality.op9_line_crf_quality,
