@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, near_dup, quality, sql, substring_dedup, token_counts, toxicity
+from . import chat, decontaminate, language, mixing, near_dup, quality, search, sql, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language.op1_language_id,
         "op2_chat_format": chat.op2_chat_format,
+        "op3_bm25_topk": search.op3_bm25_topk,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_token_counts": token_counts.op6_token_counts,
