@@ -154,6 +154,7 @@ def corrected(reads: DataFrame, decided: DataFrame, sup: DataFrame, cfg: ReadCon
 def cut_by_joins(rows: DataFrame, sup: DataFrame, cfg: ReadConfig) -> DataFrame:
     """The same cuts with one join against the passing signatures per depth."""
     real = sup.where(is_real(cfg)).select(F.col("sig"), F.lit(True).alias("_real"))
+    rows = rows.withColumn("seq", F.coalesce("seq", F.lit("")))
     state = rows.select("*", F.length("seq").cast("long").alias("keep_end"), F.length("seq").cast("long").alias("reach"), (F.col("low_cut") == F.lit(False)).alias("live"))
     state = state.withColumn("keep_end", F.when(F.col("low_cut"), F.col("_split")).otherwise(F.col("keep_end")))
     for _ in range(cfg.max_depth):
