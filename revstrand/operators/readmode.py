@@ -214,6 +214,22 @@ def correct(reads: DataFrame, cfg: ReadConfig) -> tuple[DataFrame, DataFrame]:
     return corrected(reads, decided, sup, cfg), report(decided)
 
 
+def sweep(reads: DataFrame, configs: dict[str, ReadConfig]) -> DataFrame:
+    """tag and counts of each decision for every configuration; configurations that differ only across reads share one pass."""
+    from dataclasses import replace
+
+    called: dict[ReadConfig, DataFrame] = {}
+    out = None
+    for tag, cfg in configs.items():
+        key = replace(cfg, min_support=0, min_support_ident=0.0, max_depth=0, cut_low_ident=False)  # what calls don't depend on
+        if key not in called:
+            called[key] = calls(reads, cfg).persist()
+        rows = decide(called[key], support(called[key]), cfg)
+        one = rows.agg(F.lit(tag).alias("tag"), F.count("*").alias("detected"), *[F.count_if(F.col("decision") == d).alias(d) for d in ("artefact", "low_ident", "real", "unknown")])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def position_profile(reads: DataFrame, called: DataFrame, most: int = 500) -> DataFrame:
     """Mean match of the two arms at each distance i from the junction, gap corrected."""
     rows = reads.select("read_id", "seq").join(called.where("refined_split IS NOT NULL").select("read_id", "refined_split", "gap_est"), "read_id")

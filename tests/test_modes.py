@@ -164,3 +164,9 @@ def test_position_profile(spark):
     rows = spark.createDataFrame([("x", a + dna(400, 9) + rc(a))], "read_id string, seq string")
     p = R.position_profile(rows, R.calls(rows, CFG), 100).agg(F.avg("mean_match")).first()[0]
     assert p > 0.6
+
+
+def test_sweep(spark):
+    got = {r["tag"]: r for r in R.sweep(reads(spark), {"base": CFG, "s5": replace(CFG, min_support=5), "long": replace(CFG, min_arm=2800)}).collect()}
+    assert (got["base"]["real"], got["base"]["artefact"]) == (4, 3) and (got["s5"]["real"], got["s5"]["artefact"]) == (0, 7)
+    assert got["long"]["detected"] == 7
