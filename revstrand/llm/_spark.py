@@ -54,7 +54,15 @@ def buckets_for(df: DataFrame, bytes_each: int, least: int = 16, most: int = 1 <
     return n
 
 
+#: Rows and bytes of the Arrow batches that tasks exchange with Python; texts can be long, so both are bounded.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir. Sessions that still have Spark's default Arrow batches get bounded ones."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

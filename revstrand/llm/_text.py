@@ -6,13 +6,15 @@ a piece at once. Pieces are bounded in bytes, but a document is never split: a s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 4 << 20
+PIECE = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: ASCII characters that are neither letters nor digits; bytes from 0x80 on belong to words.
@@ -73,6 +75,14 @@ def pieces(batches, text: str = "text", most: int = PIECE) -> Iterator[pa.Record
             j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
             yield b.slice(i, j - i)
             i = j
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def word_spans(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,3 +135,9 @@ def blobs(values: np.ndarray, off: np.ndarray) -> pa.Array:
     """One binary value per document, holding its elements' bytes."""
     body = np.ascontiguousarray(values)
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer((off * body.itemsize).astype(np.int32)), pa.py_buffer(body.tobytes())])
+
+
+def spread(texts: pa.Array, most: int = PIECE) -> Iterator[pa.Array]:
+    """A text column in slices of at most `most` bytes, or one document."""
+    for b in pieces([pa.RecordBatch.from_arrays([texts], names=["text"])], most=most):
+        yield b.column(0)
