@@ -19,6 +19,7 @@ MOST_OTHER = 0.5
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those that are mostly of no language."""
+    table(spark, sf_dir, "documents")  # bounds the session's Arrow batches
     model = language.train(docs)
     return language.identify(docs.select(COLUMNS), model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("other") <= MOST_OTHER)).select(COLUMNS)
 

@@ -217,20 +217,19 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rate: floa
     """
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("edits", pa.int64())]))
     schema = "array<struct<item_id:long,start:long,edits:long>>"
-    rows = docs.drop("leaks").withColumn("leaks", F.array().cast(schema))
+    rows, found = docs.drop("leaks"), []
+
+    def told(shared):
+        @F.arrow_udf(schema)
+        def of(texts: pa.Array) -> pa.Array:  # only texts go to Python, and no text comes back
+            got = [g for t in X.spread(texts) for g in matches(t, shared.value)]
+            return pa.array([[{"item_id": i, "start": a, "edits": e} for i, a, e in g] for g in got], kind)
+
+        return of
+
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(patterns(block, window, rate))
-
-        def go(batches, shared=shared):
-            p = shared.value
-            for b in X.pieces(batches):
-                got = matches(b.column("text"), p)
-                old = b.column("leaks").to_pylist()
-                new = [o + [{"item_id": i, "start": a, "edits": e} for i, a, e in g] for o, g in zip(old, got)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(new, kind)], names=b.schema.names)
-
-        rows = rows.mapInArrow(go, rows.schema)
-    return rows
+        found.append(told(docs.sparkSession.sparkContext.broadcast(patterns(block, window, rate)))(F.col("text")))
+    return rows.withColumn("leaks", F.concat(*found) if found else F.array().cast(schema))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

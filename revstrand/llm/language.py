@@ -21,6 +21,8 @@ BUCKETS = 1 << 16
 #: Documents per language that the model is fitted on (a bounded sample by hash order of the ids; see `train`).
 PER_LANGUAGE = 3000
 FIRST_ROUNDS, MORE_ROUNDS = 5, 8
+#: Bytes of text whose four-grams are held at once.
+PIECE = 1 << 20
 #: Shares below this go at once when languages are eliminated.
 LEAST_SHARE = 0.02
 UNKNOWN = "und"
@@ -155,36 +157,33 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     columns pass through unchanged; the four new ones replace columns of those names.
     """
     out = ["lang_pred", "score", "shares", "other"]
-    rows = docs.drop(*out)
-    from pyspark.sql import types as T
-
-    fields = [*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("shares", T.MapType(T.StringType(), T.DoubleType())), T.StructField("other", T.DoubleType())]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("shares", pa.map_(pa.string(), pa.float64())), ("other", pa.float64())])
 
-    def go(batches):
-        m = shared.value
-        names = np.array([*m.langs, UNKNOWN], object)
-        for b in X.pieces(batches):
-            text = b.column("text")
-            letter = np.asarray(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False))
-            shares, sure = infer(text, m)
-            if not m.langs:
-                letter[:] = False
-            top = shares[:, :-1].argmax(axis=1) if m.langs else np.zeros(len(letter), int)
-            known = shares[:, :-1].sum(axis=1)
-            if m.langs:
-                blank = letter & (known <= 0)  # background alone: the language with the best likelihood still names it
-                top = np.where(blank, 0, top)
-            largest = shares[np.arange(len(top)), top] / np.where(known > 0, known, 1) if m.langs else np.zeros(len(top))
-            score = np.where(letter, np.clip(largest * np.where(sure > 0, sure, 1), 0, 1), 0.0)
-            pick = np.where(letter, names[top], UNKNOWN)
-            sets = [[(names[j], float(s[j])) for j in np.flatnonzero(s[:-1])] if ok else [] for s, ok in zip(shares, letter)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(pick, pa.string()), pa.array(score), pa.array(sets, pa.map_(pa.string(), pa.float64())), pa.array(np.where(letter, shares[:, -1], 1.0))],
-                names=[*b.schema.names, *out],
-            )
-
-    return rows.mapInArrow(go, T.StructType(fields))
+    @F.arrow_udf("lang_pred string, score double, shares map<string, double>, other double")
+    def told(texts: pa.Array) -> pa.Array:  # only texts go to Python, and no text comes back
+        parts = [_told(t, shared.value, kind) for t in X.spread(texts, PIECE)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    rows = docs.drop(*out)
+    return rows.withColumn("_t", told(F.col("text"))).select(*[rows[c] for c in rows.columns], *[F.col(f"_t.{c}").alias(c) for c in out])
+
+
+def _told(text: pa.Array, m: Model, kind: pa.DataType) -> pa.Array:
+    names = np.array([*m.langs, UNKNOWN], object)
+    letter = np.array(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False))
+    shares, sure = infer(text, m)
+    if not m.langs:
+        letter[:] = False
+        top, largest = np.zeros(len(letter), int), np.zeros(len(letter))
+    else:
+        known = shares[:, :-1].sum(axis=1)
+        top = shares[:, :-1].argmax(axis=1)  # of a text that is background alone: the first language, with score 0
+        largest = shares[np.arange(len(top)), top] / np.where(known > 0, known, 1)
+    score = np.where(letter, np.clip(largest * np.where(sure > 0, sure, 1), 0, 1), 0.0)
+    sets = [[(names[j], float(s[j])) for j in np.flatnonzero(s[:-1])] if ok else [] for s, ok in zip(shares, letter)]
+    columns = [pa.array(np.where(letter, names[top], UNKNOWN), pa.string()), pa.array(score), pa.array(sets, kind.field(2).type), pa.array(np.where(letter, shares[:, -1], 1.0))]
+    return pa.StructArray.from_arrays(columns, fields=list(kind))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
