@@ -65,13 +65,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = "
     """
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"_k_{c}") for c in keep])
     u = random_unit(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("u", u)
+    full = rows.withColumn("u", u)
+    rows = cut(full.select("doc_id", "source", "size", "u"), "mix-sizes")  # texts are read once for the sizes, not by every step
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     goal = cut(goal.withColumn("mean", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("whole", F.floor("mean").cast("long")).withColumn("part", F.col("mean") - F.col("whole")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-goal")
     # Pareto order: random odds over inclusion odds, and a grid over it that is even in u
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
     on = lambda a, b: a.join(b.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    ranked = on(rows, goal).withColumn("q", F.when(F.col("part") > 0, odds)).withColumn("bin", F.floor(F.col("u") * bins).cast("int"))
+    order = lambda r: on(r, goal).withColumn("q", F.when(F.col("part") > 0, odds)).withColumn("bin", F.floor(F.col("u") * bins).cast("int"))
+    ranked = order(rows)
     grid = ranked.where("part > 0").groupBy("source", "bin").agg(F.sum("size").alias("in_bin"), F.first("budget").alias("budget"))
     upto = Window.partitionBy("source").orderBy("bin")
     grid = grid.withColumn("before", F.sum("in_bin").over(upto) - F.col("in_bin"))
@@ -79,8 +81,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = "
     left = lambda a, b: a.join(b.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     # documents of the crossing bin, in Pareto order: taken while they fit
     edge = on(ranked, cross).where("bin = cross")
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.sum("size").over(order) + F.col("before")).withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("q", "doc_id", "size")))
+    upto = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("upto", F.sum("size").over(upto) + F.col("before")).withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("q", "doc_id", "size")))
     stop = edge.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("budget"), F.struct("n", "q", "doc_id", "size"))).alias("stop"), F.first("before").alias("base"), F.first("budget").alias("budget"), F.first("cross").alias("cross"))
     fits = edge.join(stop.select(F.col("source").alias("_s"), "stop"), F.col("source").eqNullSafe(F.col("_s"))).where("n < stop.n").groupBy("source").agg(F.sum("size").alias("fit"), F.count("*").alias("n_fit"))
     stop = left(stop, fits).select("source", "cross", F.coalesce("n_fit", F.lit(0)).alias("n_fit"), (F.col("budget") - (F.col("base") + F.coalesce("fit", F.lit(0)))).alias("gap"), F.col("stop.q").alias("sq"), F.col("stop.doc_id").alias("sd"), F.col("stop.size").alias("ss"))
@@ -91,7 +93,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = "
     closing = after.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "q", "doc_id", "size", "gap")).alias("c"))
     closing = closing.where("c.col1 < c.gap").select("source", F.col("c.doc_id").alias("cd"), F.col("c.size").alias("cs"))
     ends = cut(left(stop, closing), "mix-ends")
-    done = left(ranked, ends)
+    done = left(order(full) if keep else ranked, ends)
     inside = F.col("cross").isNull() | (F.col("bin") < F.col("cross")) | ((F.col("bin") == F.col("cross")) & ~past)
     closes = (F.col("doc_id") == F.col("cd")) & (F.col("size") == F.col("cs"))
     extra = F.when((F.col("part") > 0) & (inside | F.coalesce(closes, F.lit(False))), 1).otherwise(0)
