@@ -115,9 +115,8 @@ def _refine(s, d):
 
 
 def _refine_ont(s, d):
-    cfg = replace(CFG, refine=replace(CFG.refine, mode="ont", window=20))
-    r = Y.reads(s, d).where("doc_id % 60 < 6")
-    return R.calls(r, cfg).where("refined_split IS NOT NULL").select("read_id", "refined_split", "gap_est", F.round("identity_est", 6).alias("identity_est"))
+    cfg = replace(CFG, refine=replace(CFG.refine, mode="ont"))
+    return R.calls(Y.reads(s, d), cfg).where("refined_split IS NOT NULL").select("read_id", "refined_split", "gap_est", F.round("identity_est", 6).alias("identity_est"))
 
 
 def _sig_local(s, d):
@@ -135,8 +134,8 @@ def _sig_flank(s, d):
 
 
 def _profile(s, d):
-    r = Y.reads(s, d).where("doc_id % 6 IN (0, 1, 4)")
-    return R.position_profile(r, R.calls(r, CFG), 200).select("i", F.round("mean_match", 6).alias("mean_match"), "n")
+    r = Y.reads(s, d)
+    return R.position_profile(r, R.calls(r, CFG)).select("i", F.round("mean_match", 6).alias("mean_match"), "n")
 
 
 def _rolling(s, d):
