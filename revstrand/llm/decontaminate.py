@@ -26,7 +26,7 @@ Q = 8
 WINDOW, EDIT_RATE = 80, 0.1
 #: Items shorter than this (normalised) are too common to be told from chance; they match whole documents only.
 LEAST = 24
-#: Bytes of pattern text that one pass broadcasts.
+#: Bytes of pattern text that one pass broadcasts, every byte as often as windows hold it.
 BLOCK_BYTES = 4 << 20
 _BITS = 22
 #: Pairs of a shared q-gram that are sorted at a time.
@@ -73,8 +73,13 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return ((codes * _U(0x9E3779B97F4A7C15)) >> _U(64 - _BITS)).astype(np.int64)
 
 
-def patterns(items: list[tuple[int, str]], window: int = WINDOW, rate: float = EDIT_RATE) -> Patterns:
-    """Windows of each item, half a window apart, the last one at the item's end."""
+def patterns(items: list[tuple[int, str]], window: int = WINDOW, rate: float = EDIT_RATE, step: int | None = None) -> Patterns:
+    """Windows of each item, `step` bytes apart (half a window if None), the last one at the item's end.
+
+    With a step of the edit budget at most, any verbatim excerpt of window - budget bytes or more is found wherever in the item
+    it begins: some window then differs from it at its ends only, within the budget.
+    """
+    step = step or window // 2
     flat, off = normalised(pa.array([t for _, t in items], pa.large_string()))
     spans = []
     for i, (name, _) in enumerate(items):
@@ -84,7 +89,7 @@ def patterns(items: list[tuple[int, str]], window: int = WINDOW, rate: float = E
             if z > a:
                 spans.append((a, z - a, name, z - a < LEAST))
             continue
-        at = list(range(a, z - window, window // 2)) + [z - window]
+        at = list(range(a, z - window, step)) + [z - window]
         spans += [(s, window, name, False) for s in dict.fromkeys(at)]
     start, size, item = (np.array([s[k] for s in spans], np.int64) for k in range(3))
     whole = np.array([s[3] for s in spans], bool)
@@ -198,17 +203,21 @@ def matches(texts: pa.Array, p: Patterns) -> list[list[tuple[int, int, int]]]:
     return [sorted((i, a, e) for i, (e, a) in g.items()) for g in got]
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, times: int) -> list[list[tuple[int, str]]]:
     """The items in blocks of bounded text; they come to the driver one block's worth at a time."""
     blocks, size = [[]], 0
     for r in benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
         if size > BLOCK_BYTES:
             blocks, size = [*blocks, []], 0
         blocks[-1].append((r["item_id"], r["text"]))
-        size += 3 * len(r["text"].encode())
+        size += times * len(r["text"].encode())
     return [b for b in blocks if b]
 
 
+def _step(window: int, rate: float) -> int:
+    return max(int(window * rate), 1)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rate: float = EDIT_RATE) -> DataFrame:
     """docs' rows with `leaks`: array of (item_id, start, edits) of benchmark items that the text holds.
 
@@ -227,8 +236,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rate: floa
 
         return of
 
-    for block in _blocks(benchmark):
-        found.append(told(docs.sparkSession.sparkContext.broadcast(patterns(block, window, rate)))(F.col("text")))
+    for block in _blocks(benchmark, window // _step(window, rate) + 1):
+        found.append(told(docs.sparkSession.sparkContext.broadcast(patterns(block, window, rate, _step(window, rate))))(F.col("text")))
     return rows.withColumn("leaks", F.concat(*found) if found else F.array().cast(schema))
 
 

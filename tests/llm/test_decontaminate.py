@@ -89,3 +89,21 @@ def test_blocks_give_the_same(spark, planted, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_BYTES", 200)
     assert {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in D.find(rows, bench).collect()} == one
     assert np.any([len(x) for x in one.values()])
+
+
+def test_excerpts_are_found_at_every_offset(spark):
+    r = random.Random(4)
+    say = lambda n, letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(n))
+    item = say(60, "abcde")
+    body = norm(item).encode()
+    most = int(D.WINDOW * D.EDIT_RATE)
+    rows = []
+    for size in (D.WINDOW - most, 75, D.WINDOW, 100):
+        for at in range(len(body) - size + 1):
+            rows.append((len(rows), say(8, "vwxyz") + " " + body[at : at + size].decode() + " " + say(8, "vwxyz")))
+    clean = [(10**6 + i, say(40, "abcde")) for i in range(50)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {x["doc_id"]: len(x["leaks"]) for x in D.find(spark.createDataFrame(rows + clean, "doc_id long, text string"), bench).collect()}
+    assert [i for i, _ in rows if not got[i]] == []
+    near = {i: min(least_edits(body[s : s + D.WINDOW], norm(t).encode()) for s in range(len(body) - D.WINDOW + 1)) <= most for i, t in clean[:5]}
+    assert {i: bool(got[i]) for i in near} == near
