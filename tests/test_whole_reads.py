@@ -36,3 +36,14 @@ def test_ont_takes_every_read(spark, sf):
             want[r["read_id"]] = (c["refined_split"], c["gap_est"], round(c["identity_est"], 6))
     got = query("refine_ont")(spark, sf).collect()
     assert {r["read_id"]: (r["refined_split"], r["gap_est"], r["identity_est"]) for r in got} == want and len(want) >= 16
+
+
+def test_contigs_of_every_read(spark, sf):
+    got = Counter(r["contig"] for r in assembly.contigs(spark, sf).select("contig").collect())
+    assert got == {f"c{i}": 1 for i in range(96, 120)}
+    called = {r["contig"] for r in query("tir_ident")(spark, sf).select("contig").collect()}
+    bounds = {r["contig"] for r in query("arm_bounds_minmax")(spark, sf).select("contig").collect()}
+    assert {r["contig"] for r in query("ir_calls")(spark, sf).select("contig").collect()} == called
+    for kind in (0, 1, 3, 4):
+        assert any(int(c[1:]) % 6 == kind for c in called) and any(int(c[1:]) % 6 == kind for c in bounds), kind
+    assert any(int(c[1:]) % 2 for c in called)
