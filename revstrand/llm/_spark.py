@@ -5,14 +5,20 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one is set only where none is named."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where none is named, a local session gets a temporary folder, since its driver and executors are one machine; a cluster is refused.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         base = "file://" + tempfile.mkdtemp(prefix="revstrand-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -36,7 +42,44 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    done._written = path
+    return done
+
+
+def drop(*written: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and nothing reads any more."""
+    for df in written:
+        drop_path(df.sparkSession, df._written)
+
+
+#: Bits of a filter over ids: 8 MB whatever the input. Once it is full it passes every id, and what reads its rows decides.
+SIEVE_BITS = 1 << 26
+
+
+def sieve_slot(column: str) -> Column:
+    """The bit that stands for an id."""
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(SIEVE_BITS))
+
+
+class Sieve:
+    def __init__(self, words: np.ndarray):
+        self.words = words.view(np.uint64)
+
+    def has(self, slots) -> np.ndarray:
+        """Which slots (an Arrow column, null: none) are set."""
+        at = np.asarray(slots.fill_null(-1), np.int64)
+        bit = (at & 63).astype(np.uint64)
+        return (at >= 0) & ((self.words[np.maximum(at, 0) >> 6] >> bit) & np.uint64(1) == 1)
+
+
+def sieve(ids: DataFrame):
+    """A broadcast filter that all ids in ids(doc_id) pass, and others with the chance of a shared bit."""
+    at = sieve_slot("doc_id")
+    words = ids.select(at.alias("at")).select(F.floor(F.col("at") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, int(at % 64))").alias("b"))
+    got, bits = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow(), np.zeros(SIEVE_BITS // 64, np.int64)
+    bits[np.asarray(got.column("w"))] = np.asarray(got.column("b"))
+    return ids.sparkSession.sparkContext.broadcast(Sieve(bits))
 
 
 def input_bytes(df: DataFrame) -> int:
