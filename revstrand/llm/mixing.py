@@ -1,27 +1,36 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Each source gets a word budget (its target). A document is expected `target / source size` times: the whole part of that
-number is allocated as certain copies, the fraction is the inclusion probability of one more copy. Documents of a source are
-ranked by random odds over inclusion odds (Pareto order sampling) and taken in that order up to the source's remaining budget;
-of the documents left, the one whose size is nearest to what is still missing closes the gap.
-
-The rank's cut-off is found without bringing a source's documents together: sizes are summed over a fixed grid of rank bins
-per source, the bin that crosses the budget is found on that small table, and only the documents of the crossing bin are
-ordered. A source that holds most rows costs no more than its rows.
+Each source gets a word budget (its target). A document is expected `target / source size` times: the whole part of that number
+is allocated as certain copies; the rest of the budget is drawn. A document's inclusion odds for one more copy are those of the
+fraction, times the root of its size over the source's mean size: large documents
+come early and small ones are left to fill the budget, so the total is steadier than with equal odds. Documents are ranked by
+random odds over inclusion odds (Pareto order sampling). The sample's size is fixed in words: the longest prefix of the ranking
+that fits the budget, then in the same order those after it that fit what is left, in ROUNDS prefixes, and at the end the one
+document whose size is nearest to what is still missing, if it brings the total nearer to the target.
+
+The prefix is found without bringing a source's documents together: sizes are summed over a grid of rank bins per source, the
+bin that crosses the budget is found on that small table and cut into a grid again, until what it holds can be ordered in one
+task. A source that holds most rows costs no more than its rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, table
+from ._spark import cut, drop, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
-#: Bins of the rank grid of each source; a bin that is still too full for one task is halved again by `levels`.
-BINS = 4096
+#: Bins of a grid of ranks, and documents of one source that are ordered in one task.
+BINS, FEW = 4096, 100_000
+#: Prefixes of the ranking that are taken, each of the documents that fit what the one before left.
+ROUNDS = 3
+#: Grids inside grids; at 4096 ** 4 bins a double has no more digits, so what is left are equal ranks, which go together anyway.
+LEVELS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -57,48 +66,110 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES) -> DataF
     return t.select("source", "source_size", F.coalesce(at, F.lit(0.0)).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = "", bins: int = BINS, keep: tuple[str, ...] = (), keep_source: bool = False) -> DataFrame:
+def rank(u: Column, part: Column, mean_size: Column, size: Column) -> Column:
+    """Random odds over inclusion odds: documents are taken from the smallest on."""
+    odds = (part / (1 - part)) * F.sqrt(F.greatest(size, F.lit(1)) / mean_size)
+    return (u / (1 - u)) / odds
+
+
+def _on(rows: DataFrame, by_source: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of their source, a null source being one like others."""
+    return rows.join(by_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), how).drop("_s")
+
+
+def _crossing(ranked: DataFrame, bins: int, few: int) -> DataFrame:
+    """source, lo, hi, base of the range of v, in which ranks lie, that crosses the source's gap, and the words ranked before it.
+
+    ranked: source, v (0 to 1, rising with the rank), size, gap. Sources that fit their gap whole have no row.
+    """
+    # v may round up to 1, so the first range goes beyond it
+    at = ranked.select("source", "gap").distinct().select("source", "gap", F.lit(0.0).alias("lo"), F.lit(2.0).alias("hi"), F.lit(0).cast("decimal(38,0)").alias("base"))
+    rows, found, old = ranked.select("source", "v", "size"), None, []
+    for _ in range(LEVELS):
+        # a range's width is a power of two, so bin limits are exact and a rank is in one bin
+        here = _on(rows, at).where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi")))
+        here = here.withColumn("bin", F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("long"))
+        grid = here.groupBy("source", "bin").agg(F.sum("size").cast("decimal(38,0)").alias("in_bin"), F.count("*").alias("n"), F.first("gap").alias("gap"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("base").alias("base"))
+        grid = grid.withColumn("base", F.col("base") + F.sum("in_bin").over(Window.partitionBy("source").orderBy("bin")) - F.col("in_bin"))
+        step = (F.col("hi") - F.col("lo")) / bins
+        grid = grid.where("base <= gap AND base + in_bin > gap").select("source", "gap", (F.col("lo") + F.col("bin") * step).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * step).alias("hi"), F.col("base").cast("decimal(38,0)").alias("base"), "n")
+        found = cut(grid, "mix-cross")
+        old.append(found)
+        if (found.agg(F.max("n")).first()[0] or 0) <= few:
+            break
+        at = found.drop("n")
+    drop(*old[:-1])
+    return found.select("source", "lo", "hi", "base")
+
+
+def _prefix(ranked: DataFrame, bins: int, few: int) -> DataFrame:
+    """source, stop (q, doc_id, size of the first documents that don't fit; null where all do), left (what the prefix leaves of the gap).
+
+    ranked: source, q, v, doc_id, size, gap. Equal ranks are one.
+    """
+    cross = _crossing(ranked, bins, few)
+    edge = _on(ranked, cross).where((F.col("v") >= F.col("lo")) & (F.col("v") < F.col("hi")))
+    unit = edge.groupBy("source", *KEY).agg(F.count("*").alias("n"), F.first("base").alias("base"), F.first("gap").alias("gap"))
+    upto = Window.partitionBy("source").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, 0)
+    unit = unit.withColumn("upto", F.sum(F.col("size") * F.col("n")).over(upto) + F.col("base"))
+    stop = unit.where("upto > gap").groupBy("source").agg(F.min(F.struct(*KEY, "n", "upto", "gap")).alias("s"))
+    stop = stop.select("source", F.struct(*[F.col(f"s.{k}").alias(k) for k in KEY]).alias("stop"), (F.col("s.gap") - (F.col("s.upto") - F.col("s.size") * F.col("s.n")).cast("double")).alias("_left"))
+    sums = ranked.groupBy("source").agg((F.first("gap") - F.sum("size")).alias("_all"))
+    return _on(sums, stop, "left").select("source", "stop", F.coalesce("_left", "_all").alias("left"))
+
+
+#: The order of documents of a source: rank, then id (null first), then size.
+KEY = ("q", "doc_id", "size")
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = "", bins: int = BINS, keep: tuple[str, ...] = (), keep_source: bool = False, few: int = FEW) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies (and `source` and the columns in `keep`) of each row of docs(doc_id, text, source).
 
-    Null or empty text: size 0, taken 0. Null source: a source of its own, last. Rows with one doc_id (repeats) have equal
-    ranks; ties go by size. An empty table gives an empty result. Reruns agree: ranks depend on doc_id and `seed` alone.
+    Null or empty text: size 0, taken 0. Null source: a source of its own, last. Ranks depend on doc_id, size and `seed` alone, so
+    reruns agree; ties go by doc_id (null first) and size. Rows of one doc_id, source and size (repeats, and null ids) have one
+    rank and are taken together or not at all; none of them closes a gap. Long texts are counted whole. An empty table gives an
+    empty result. Columns of docs that clash with the result's names are ignored unless they are in `keep`, which takes no such name.
     """
+    if clash := {"doc_id", "size", "source_size", "target", "taken", "copies", "source"} & set(keep):
+        raise ValueError(f"columns of the result can't be kept besides: {sorted(clash)}")
     rows = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), *[F.col(c).alias(f"_k_{c}") for c in keep])
     u = random_unit(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     full = rows.withColumn("u", u)
     rows = cut(full.select("doc_id", "source", "size", "u"), "mix-sizes")  # texts are read once for the sizes, not by every step
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    goal = cut(goal.withColumn("mean", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("whole", F.floor("mean").cast("long")).withColumn("part", F.col("mean") - F.col("whole")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-goal")
-    # Pareto order: random odds over inclusion odds, and a grid over it that is even in u
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
-    on = lambda a, b: a.join(b.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    order = lambda r: on(r, goal).withColumn("q", F.when(F.col("part") > 0, odds)).withColumn("bin", F.floor(F.col("u") * bins).cast("int"))
-    ranked = order(rows)
-    grid = ranked.where("part > 0").groupBy("source", "bin").agg(F.sum("size").alias("in_bin"), F.first("budget").alias("budget"))
-    upto = Window.partitionBy("source").orderBy("bin")
-    grid = grid.withColumn("before", F.sum("in_bin").over(upto) - F.col("in_bin"))
-    cross = cut(grid.where("before <= budget and before + in_bin > budget").groupBy("source").agg(F.min("bin").alias("cross"), F.min_by("before", "bin").alias("before")), "mix-cross")
-    left = lambda a, b: a.join(b.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    # documents of the crossing bin, in Pareto order: taken while they fit
-    edge = on(ranked, cross).where("bin = cross")
-    upto = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = edge.withColumn("upto", F.sum("size").over(upto) + F.col("before")).withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("q", "doc_id", "size")))
-    stop = edge.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("budget"), F.struct("n", "q", "doc_id", "size"))).alias("stop"), F.first("before").alias("base"), F.first("budget").alias("budget"), F.first("cross").alias("cross"))
-    fits = edge.join(stop.select(F.col("source").alias("_s"), "stop"), F.col("source").eqNullSafe(F.col("_s"))).where("n < stop.n").groupBy("source").agg(F.sum("size").alias("fit"), F.count("*").alias("n_fit"))
-    stop = left(stop, fits).select("source", "cross", F.coalesce("n_fit", F.lit(0)).alias("n_fit"), (F.col("budget") - (F.col("base") + F.coalesce("fit", F.lit(0)))).alias("gap"), F.col("stop.q").alias("sq"), F.col("stop.doc_id").alias("sd"), F.col("stop.size").alias("ss"))
-    stop = cut(stop, "mix-stop")
-    past = F.struct("q", "doc_id", "size") >= F.struct(F.col("sq"), F.col("sd"), F.col("ss"))
-    # of the documents past the stop, the one that closes the gap best, if it makes it smaller
-    after = on(ranked, stop).where((F.col("bin") > F.col("cross")) | ((F.col("bin") == F.col("cross")) & past))
-    closing = after.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "q", "doc_id", "size", "gap")).alias("c"))
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), (F.sum("size") / F.count("*")).alias("mean_size"))
+    goal = _on(targets(sums.select("source", "source_size"), weights, most), sums.select("source", "mean_size"))
+    goal = goal.withColumn("mean", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    goal = goal.withColumn("whole", F.floor("mean").cast("long")).withColumn("part", F.col("mean") - F.floor("mean"))
+    goal = cut(goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-goal")
+
+    def order(r: DataFrame) -> DataFrame:
+        q = rank(F.col("u"), F.col("part"), F.col("mean_size"), F.col("size"))
+        return _on(r, goal).withColumn("q", F.when((F.col("part") > 0) & (F.col("mean_size") > 0), q)).withColumn("v", F.col("q") * F.col("part") / (1 - F.col("part") + F.col("q") * F.col("part")))
+
+    # v is the rank with the source's fraction taken out, on (0, 1): as even as random numbers where sizes are alike
+    key = F.struct(*KEY)
+    at = goal.select("source", F.col("budget").alias("left0"), F.expr("struct(double('-inf') AS q, cast(null AS long) AS doc_id, 0L AS size)").alias("stop0"))
+    end = F.expr("struct(double('inf') AS q, cast(null AS long) AS doc_id, 0L AS size)")
+    took = []
+    for i in range(ROUNDS):
+        fits = (key > F.col(f"stop{i}")) & (F.col("size") <= F.col(f"left{i}"))
+        ranked = _on(order(rows).where("q IS NOT NULL"), at).where(fits).withColumn("gap", F.col(f"left{i}"))
+        found = _prefix(ranked.select("source", "v", "gap", *KEY), bins, few).withColumn("_hit", F.lit(True))
+        at = _on(at, found, "left").withColumn(f"stop{i + 1}", F.coalesce("stop", end)).withColumn(f"left{i + 1}", F.coalesce("left", f"left{i}"))
+        at = cut(at.drop("stop", "left", "_hit"), "mix-stop")
+        took.append(fits & (key < F.col(f"stop{i + 1}")))
+    taken = reduce(Column.__or__, took)
+    # of the documents that aren't taken, the one that closes the gap best, if it makes it smaller
+    after = _on(order(rows).where("q IS NOT NULL"), at).where(~taken).withColumn("gap", F.col(f"left{ROUNDS}"))
+    closing = after.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), *KEY, "gap")).alias("c"))
     closing = closing.where("c.col1 < c.gap").select("source", F.col("c.doc_id").alias("cd"), F.col("c.size").alias("cs"))
-    ends = cut(left(stop, closing), "mix-ends")
-    done = left(order(full) if keep else ranked, ends)
-    inside = F.col("cross").isNull() | (F.col("bin") < F.col("cross")) | ((F.col("bin") == F.col("cross")) & ~past)
-    closes = (F.col("doc_id") == F.col("cd")) & (F.col("size") == F.col("cs"))
-    extra = F.when((F.col("part") > 0) & (inside | F.coalesce(closes, F.lit(False))), 1).otherwise(0)
+    closes = F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("size") == F.col("cs"))
+    closing = _on(after.select("source", "doc_id", "size"), closing).where(closes).groupBy("source").agg(F.count("*").alias("n"), F.first("cd").alias("cd"), F.first("cs").alias("cs")).where("n = 1").drop("n")
+    ends = cut(_on(at, closing, "left"), "mix-ends")
+    done = _on(order(full) if keep else order(rows), ends)
+    extra = F.when(F.col("q").isNotNull() & (taken | F.coalesce(closes & F.col("cs").isNotNull(), F.lit(False))), 1).otherwise(0)
     done = done.withColumn("copies", (F.col("whole") + extra).cast("long"))
-    return done.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *(["source"] if keep_source else []), *[F.col(f"_k_{c}").alias(c) for c in keep])
+    return done.select("doc_id", F.col("size"), "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *(["source"] if keep_source else []), *[F.col(f"_k_{c}").alias(c) for c in keep])
 
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 import re
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 from revstrand.llm import mixing as M
 from revstrand.llm import sql
 
@@ -35,7 +37,7 @@ def test_sources_meet_targets_and_reruns_agree(spark):
         assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 3
         by.setdefault(r["source"], [0, r["target"]])[0] += r["taken"]
     assert all(abs(t - g) <= 0.03 * g for t, g in by.values())
-    again = M.mix(docs.repartition(7), bins=16).collect()  # neither partitions nor the grid change the choice
+    again = M.mix(docs.repartition(7), bins=16, few=5).collect()  # neither partitions nor the grid change the choice
     assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in again)
 
 
@@ -48,3 +50,40 @@ def test_hostile_rows_against_sql(spark, corpus, docs, tmp_path):
     assert len(got) == len(corpus) and sorted(set(got)) == sorted(set(want))
     assert {r[0]: r[1] for r in got} == {r[0]: len(WORD.findall(r[1] or "")) for r in corpus}
     assert M.mix(docs.where("false")).count() == 0
+
+
+def test_inclusion_odds_change_the_order(spark):
+    """Documents of one source, of the same random numbers: those of unequal sizes are ranked otherwise than by the random numbers."""
+    rows = spark.createDataFrame([(i, " ".join(["w"] * (1 if i % 2 else 50)), s) for s in ("a", "b") for i in range(400)], "doc_id long, text string, source string")
+    got = M.mix(rows, keep_source=True).where("source = 'a'").collect()
+    u = {r["doc_id"]: r["u"] for r in rows.select("doc_id", M.random_unit(F.concat_ws(":", F.lit(""), F.col("doc_id").cast("string"))).alias("u")).distinct().collect()}
+    mean, size = got[0]["target"] / got[0]["source_size"], {r["doc_id"]: r["size"] for r in got}
+    part, extra = mean - int(mean), {r["doc_id"]: r["copies"] > int(mean) for r in got}
+    q = {i: (u[i] / (1 - u[i])) / (part / (1 - part) * (size[i] / 25.5) ** 0.5) for i in u}
+    by_rank = sorted(q, key=q.get)
+    n = sum(extra.values())
+    assert all(extra[i] for i in by_rank[: n - 52])  # a prefix of the ranking; one-word documents fill what is left
+    assert not all(extra[i] for i in sorted(u, key=u.get)[: n - 1])
+    share = [sum(extra[i] for i in u if size[i] == z) / 200 for z in (1, 50)]
+    assert share[1] > share[0] + 0.15  # large documents have larger odds
+
+
+def test_repeats_and_null_ids_go_together(spark, tmp_path):
+    rows = [(1, "a b c", "x")] * 3 + [(None, "d e", "x")] * 2 + [(2, "f " * 40, "x"), (3, "g " * 7, "x"), (3, "h i", "x"), (4, None, None)] + [(i, "k " * (i % 9), "y") for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    want = con.execute(f"SELECT doc_id, size, source_size, round(target, 6), taken FROM ({sql.MIX})").fetchall()
+    for few in (1, 1000):
+        got = [(r["doc_id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"]) for r in M.mix(docs, few=few, bins=8).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    alike = {}
+    for r in got:
+        alike.setdefault(r[:2], set()).add(r[4])
+    assert all(len(x) == 1 for x in alike.values())
+
+
+def test_names_of_the_result_are_not_kept(spark, docs):
+    with pytest.raises(ValueError):
+        M.mix(docs, keep=("size",))
