@@ -4,12 +4,14 @@ A window is 13 consecutive words of one document. A word goes if a window over i
 doc_id. Two steps find those windows exactly:
 
 1. Anchors. Of the eight-word hashes inside a window the smallest is its anchor, so equal windows have equal anchors and the
-   index needs about a third of the windows. The index is a set of immutable runs, each sorted by fingerprint within buckets.
-   A batch's sorted anchors are merge-joined with every run; anchors that two documents hold are returned to those documents,
-   the batch becomes a run, and runs are merged into one when there are too many of them (`compact`).
+   index needs about a third of the windows. The index is a set of immutable runs, tables bucketed by fingerprint and sorted
+   inside a bucket. Each batch of documents is dealt to the buckets once and becomes a run; it is then merge-joined with every
+   older run bucket by bucket, where both lie, so history is never shuffled. Anchors that two documents hold are returned to
+   those documents. When there are too many runs the two smallest neighbours become one (`compact`), again without a shuffle.
 2. Verification. Only windows over a shared anchor can repeat. Their full word sequence is compared by a 128-bit digest of
    two independent hashes, and the smallest doc_id of each is found in the same bucketed way.
 
+Texts move only where they must: a filter of fixed size over the ids that have hits keeps the others out of the shuffle.
 Rows between tasks are packed: one row per block of documents and bucket, with sorted keys. A key that many documents hold is
 reduced to one entry per block before it is shuffled, and repeats inside a block are settled there, so no key gathers all its
 documents in one task. What a bucket holds is bounded by the number of buckets, which follows the input's size.
@@ -17,7 +19,8 @@ documents in one task. What a bucket holds is bounded by the number of buckets,
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._spark import buckets_for, cut, drop_path, scratch_path, table
+from ._spark import buckets_for, cut, drop, drop_path, scratch_path, sieve, sieve_slot, table
 
 WINDOW = 13
 ANCHOR = 8
 #: Bytes of parquet that one bucket of keys, or one group of documents, stands for.
 BUCKET_BYTES, GROUP_BYTES = 8 << 20, 2 << 20
-MOST_RUNS = 4
+#: Batches that the query takes the documents in, and runs that the index keeps.
+BATCHES, MOST_RUNS = 3, 2
 
 PACKED = "bucket int, run int, width int, docs binary, at binary, keys binary"
 HITS = "grp int, width int, docs binary, at binary, keys binary"
@@ -62,11 +66,6 @@ def _anchors(h: np.ndarray, to: np.ndarray):
     return small, best, w_to
 
 
-def _void(*columns: np.ndarray) -> np.ndarray:
-    """Rows of 64-bit columns as sortable keys: a structured array, or the column itself."""
-    return columns[0] if len(columns) == 1 else np.rec.fromarrays(columns, names="a,b")
-
-
 def _sorted_first(keys: list[np.ndarray], docs: np.ndarray):
     """Order by key and then document; marks of each key's first row."""
     order = np.lexsort([docs, *keys[::-1]])
@@ -142,66 +141,77 @@ class _Block:
         yield _pack_by(_group_of(docs[settled], self.groups), docs[settled], [k[settled] for k in keys], _PACKED, run=-2)
 
 
-def _merge(groups: int, all_docs: bool, keep: bool):
-    """Reduces one bucket: merge-joins the batch's sorted keys with the history's runs and emits the hits, and the new run if kept."""
+def _merge(groups: int, all_docs: bool):
+    """Settles one bucket of a batch: the hits of keys that several of its documents hold, and with `all_docs` the bucket of its run."""
 
     def go(t: pa.Table) -> pa.Table:
         run = np.asarray(t.column("run"))
-        out = []
+        bucket, out = 0, []
+
+        def put(kind: int, b: pa.RecordBatch) -> None:
+            fixed = [pa.array(np.full(b.num_rows, x, np.int32)) for x in (kind, bucket)]
+            out.append(pa.RecordBatch.from_arrays([*fixed, *b.columns], schema=_MERGED))
+
+        bucket = int(t.column("bucket")[0].as_py())
         for r in t.filter(pa.array(run == -2)).to_batches():
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.zeros(r.num_rows, np.int8)), r.column("bucket"), *(r.column(c) for c in ("width", "docs", "at", "keys"))], schema=_MERGED))
+            put(0, pa.RecordBatch.from_arrays([r.column("bucket"), *(r.column(c) for c in ("width", "docs", "at", "keys"))], schema=_HITS))
         rest = t.filter(pa.array(run != -2))
         if rest.num_rows:
-            docs, keys, row = _unpack(rest)
-            keys, docs, new, order = _sorted_first(keys, docs)
-            fresh = (np.asarray(rest.column("run")) < 0)[row][order]
+            docs, keys, _ = _unpack(rest)
+            keys, docs, new, _ = _sorted_first(keys, docs)
             first = np.flatnonzero(new)
             width = np.diff(np.append(first, len(docs)))
-            repeat = docs != np.repeat(docs[first], width)
-            if all_docs:
-                many = np.maximum.reduceat(docs, first) != docs[first]
-                # history that is shared within itself was returned when it came; only meeting a fresh entry is new
-                news = np.logical_or.reduceat(fresh, first)
-                hit = np.repeat(many & news, width)
-            else:
-                hit = repeat & fresh
-            b = _pack_by(_group_of(docs[hit], groups), docs[hit], [k[hit] for k in keys], _HITS)
-            if b is not None:
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int8)), *b.columns], schema=_MERGED))
-            if keep:  # one entry per fingerprint: its first document
-                mine = new & ~np.repeat(~np.logical_and.reduceat(fresh, first), width)
-                b = _pack_by(np.full(int(mine.sum()), rest.column("bucket")[0].as_py(), np.int32), docs[mine], [k[mine] for k in keys], _HITS)
-                if b is not None:
-                    out.append(pa.RecordBatch.from_arrays([pa.array(np.ones(b.num_rows, np.int8)), *b.columns], schema=_MERGED))
+            hit = docs != np.repeat(docs[first], width)
+            if all_docs:  # the first document of a shared key holds it as well
+                hit = np.repeat(np.maximum.reduceat(docs, first) != docs[first], width)
+            if (b := _pack_by(_group_of(docs[hit], groups), docs[hit], [k[hit] for k in keys], _HITS)) is not None:
+                put(0, b)
+            if all_docs:  # one entry per fingerprint: its first document
+                put(1, _pack_by(np.full(len(first), bucket, np.int32), docs[first], [k[first] for k in keys], _HITS))
         return pa.Table.from_batches(out, schema=_MERGED)
 
     return go
 
 
-_MERGED = pa.schema([("kind", pa.int8()), ("grp", pa.int32()), ("width", pa.int32()), ("docs", pa.binary()), ("at", pa.binary()), ("keys", pa.binary())])
-MERGED = "kind byte, grp int, width int, docs binary, at binary, keys binary"
+_MERGED = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("grp", pa.int32()), ("width", pa.int32()), ("docs", pa.binary()), ("at", pa.binary()), ("keys", pa.binary())])
+MERGED = "kind int, bucket int, " + HITS
+
+
+def _run_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and documents of one bucket of a run, by key."""
+    docs, keys, _ = _unpack(t)
+    keys, docs, new, _ = _sorted_first(keys, docs)
+    return keys[0][new], docs[new]
 
 
 class FingerprintIndex:
-    """Immutable sorted runs of anchors with their first documents, in `path` (a folder all executors reach).
+    """Immutable runs of anchors with their first documents: tables bucketed by fingerprint, in a folder that all executors reach.
 
-    A run holds each anchor that no earlier run has, so a fingerprint is in one run only and runs never overlap.
+    Every batch becomes a run. A fingerprint may be in several runs; compaction keeps its first document. `close` ends the index.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64, groups: int = 256):
-        self.spark, self.path, self.buckets, self.groups = spark, path or scratch_path(spark, "index"), buckets, groups
+    def __init__(self, spark: SparkSession, buckets: int = 64, groups: int = 256, most_runs: int = MOST_RUNS):
+        self.spark, self.buckets, self.groups, self.most_runs = spark, buckets, groups, most_runs
         self.runs: list[str] = []
-        self._next = 0
+        self.compactions = 0
+        self._paths: dict[str, str] = {}
+
+    def _write(self, rows: DataFrame) -> str:
+        name, path = f"revstrand_run_{uuid.uuid4().hex}", scratch_path(self.spark, "run")
+        rows.write.format("parquet").option("path", path).partitionBy("kind").bucketBy(self.buckets, "bucket").saveAsTable(name)
+        self._paths[name] = path
+        return name
 
-    def _history(self) -> DataFrame | None:
-        if not self.runs:
-            return None
-        rows = self.spark.read.schema("grp int, width int, docs binary, at binary, keys binary").parquet(*self.runs)
-        return rows.select(F.col("grp").alias("bucket"), F.lit(0).alias("run"), "width", "docs", "at", "keys")
+    def _read(self, name: str, kind: int) -> DataFrame:
+        return self.spark.table(name).where(F.col("kind") == kind)
 
-    def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """Anchors of docs(doc_id, text) that this batch newly shows to be in two documents, as packed rows by group."""
-        block = _Block(self.buckets, self.groups, True)
+    def _gone(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_path(self.spark, self._paths.pop(name))
+
+    def add(self, docs: DataFrame) -> DataFrame:
+        """Anchors of docs(doc_id, text) that this batch shows to be in two documents, as packed rows by group (written)."""
+        block, groups = _Block(self.buckets, self.groups, True), self.groups
 
         def sketch(batches):
             for b in X.pieces(batches):
@@ -212,51 +222,80 @@ class FingerprintIndex:
                 new[1:] = best[1:] != best[:-1]
                 yield from filter(None, block.pack(ids[new], [small[best[new]]]))
 
-        rows = docs.select("doc_id", "text").mapInArrow(sketch, PACKED)
-        old = self._history()
-        rows = rows if old is None else rows.unionByName(old)
-        merged = rows.groupBy("bucket").applyInArrow(_merge(self.groups, True, keep), MERGED)
-        at = f"{self.path}/batch-{self._next:06d}"
-        self._next += 1
-        merged.write.partitionBy("kind").parquet(at)
-        if keep and self.spark.read.schema(MERGED).parquet(at).where("kind = 1").limit(1).count():
-            self.runs.append(f"{at}/kind=1")
-        if len(self.runs) > MOST_RUNS:
+        rows = docs.select("doc_id", "text").mapInArrow(sketch, PACKED).groupBy("bucket").applyInArrow(_merge(groups, True), MERGED)
+        fresh = self._write(rows)
+        parts = [self._read(fresh, 0).select(*_HITS.names), *(self._shared(fresh, old) for old in self.runs)]
+        hits = cut(reduce(DataFrame.unionByName, parts), "index-hits")
+        self.runs.append(fresh)
+        while len(self.runs) > self.most_runs:
             self.compact()
-        return self.spark.read.schema(MERGED).parquet(at).where("kind = 0").drop("kind")
+        return hits
+
+    def _shared(self, fresh: str, old: str) -> DataFrame:
+        """A merge join of two runs: anchors of both, with the first document of each."""
+        groups = self.groups
+
+        def go(one: pa.Table, two: pa.Table) -> pa.Table:
+            if not one.num_rows or not two.num_rows:
+                return _HITS.empty_table()
+            (k1, d1), (k2, d2) = _run_of(one), _run_of(two)
+            at = np.minimum(np.searchsorted(k2, k1), len(k2) - 1)
+            on = (k2[at] == k1) & (d2[at] != d1)
+            docs, keys = np.concatenate([d1[on], d2[at[on]]]), np.concatenate([k1[on], k1[on]])
+            b = _pack_by(_group_of(docs, groups), docs, [keys], _HITS)
+            return _HITS.empty_table() if b is None else pa.Table.from_batches([b])
+
+        return self._read(fresh, 1).groupBy("bucket").cogroup(self._read(old, 1).groupBy("bucket")).applyInArrow(go, HITS)
 
     def compact(self) -> None:
-        """Merges all runs into one, sorted by fingerprint; the old runs go after the new one is complete."""
-        old = self._history()
-        if old is None or len(self.runs) < 2:
+        """Merges the two oldest runs into one, bucket by bucket; they go after the new one is complete."""
+        if len(self.runs) < 2:
             return
 
-        def merge(t: pa.Table) -> pa.Table:
-            docs, keys, _ = _unpack(t)
-            keys, docs, new, _ = _sorted_first(keys, docs)
-            b = _pack_by(np.full(int(new.sum()), t.column("bucket")[0].as_py(), np.int32), docs[new], [k[new] for k in keys], _HITS)
-            return pa.Table.from_batches([b], schema=_HITS)
+        def go(one: pa.Table, two: pa.Table) -> pa.Table:
+            (k1, d1), (k2, d2) = _run_of(one), _run_of(two)
+            (keys,), docs, new, _ = _sorted_first([np.concatenate([k1, k2])], np.concatenate([d1, d2]))
+            bucket = (one if one.num_rows else two).column("bucket")[0].as_py()
+            b = _pack_by(np.full(int(new.sum()), bucket, np.int32), docs[new], [keys[new]], _HITS)
+            fixed = [pa.array(np.full(b.num_rows, x, np.int32)) for x in (1, bucket)]
+            return pa.Table.from_batches([pa.RecordBatch.from_arrays([*fixed, *b.columns], schema=_MERGED)])
+
+        a, b = self.runs[:2]
+        both = self._read(a, 1).groupBy("bucket").cogroup(self._read(b, 1).groupBy("bucket")).applyInArrow(go, MERGED)
+        self.runs[:2] = [self._write(both)]
+        self.compactions += 1
+        for name in (a, b):
+            self._gone(name)
+
+    def close(self) -> None:
+        while self.runs:
+            self._gone(self.runs.pop())
 
-        at = f"{self.path}/run-{self._next:06d}"
-        self._next += 1
-        old.groupBy("bucket").applyInArrow(merge, HITS).write.parquet(at)
-        gone, self.runs = self.runs, [at]
-        for p in gone:
-            drop_path(self.spark, p)
 
+def _ids(hits: DataFrame) -> DataFrame:
+    """doc_id of every document of packed rows."""
+
+    def go(batches):
+        for b in batches:
+            for x in b.column("docs").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], names=["doc_id"])
+
+    return hits.select("docs").mapInArrow(go, "doc_id long")
 
-def _packed_texts(docs: DataFrame, groups: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """grp, doc_id, z and the columns in `keep`: texts compressed for the shuffle."""
+
+def _packed_texts(docs: DataFrame, groups: int, bits, keep: tuple[str, ...] = ()) -> DataFrame:
+    """grp, doc_id, z and the columns in `keep` of documents whose ids pass the filter: texts compressed for the shuffle."""
 
     def go(batches):
         squeeze = zstandard.ZstdCompressor(level=1)
-        for b in X.pieces(batches):
-            ids = np.asarray(b.column("doc_id"), np.int64)
-            z = [None if t is None else squeeze.compress(t.encode()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(_group_of(ids, groups)), pa.array(ids), pa.array(z, pa.binary()), *(b.column(c) for c in keep)], names=["grp", "doc_id", "z", *keep])
+        for b in batches:
+            for x in X.pieces([b.filter(pa.array(bits.value.has(b.column("_at"))))]):
+                ids = np.asarray(x.column("doc_id"), np.int64)
+                z = [None if t is None else squeeze.compress(t.encode()) for t in x.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(_group_of(ids, groups)), pa.array(ids), pa.array(z, pa.binary()), *(x.column(c) for c in keep)], names=["grp", "doc_id", "z", *keep])
 
     kinds = dict(docs.dtypes)
-    return docs.select("doc_id", "text", *keep).mapInArrow(go, ", ".join(["grp int, doc_id long, z binary", *(f"`{c}` {kinds[c]}" for c in keep)]))
+    return docs.select("doc_id", "text", *keep, sieve_slot("doc_id").alias("_at")).mapInArrow(go, ", ".join(["grp int, doc_id long, z binary", *(f"`{c}` {kinds[c]}" for c in keep)]))
 
 
 def _texts(t: pa.Table, keep: tuple[str, ...] = ()) -> pa.RecordBatch:
@@ -282,25 +321,26 @@ def _hit_mask(docs: np.ndarray, keys: list[np.ndarray], h_docs: np.ndarray, h_ke
     return out[:n]
 
 
-def repeats(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None = None) -> DataFrame:
-    """Per group, the 128-bit digests of windows that a document with a smaller doc_id has too, as packed rows.
+def repeats(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> tuple[DataFrame, int]:
+    """Per group, the 128-bit digests of windows that a document with a smaller doc_id has too, as packed rows (written).
 
     The index takes the documents in `batches` ranges of doc_id, oldest first.
     """
     spark = docs.sparkSession
     groups = buckets_for(docs, GROUP_BYTES, 64)
     buckets = buckets_for(docs, BUCKET_BYTES, 16)
-    index = index or FingerprintIndex(spark, buckets=buckets, groups=groups)
+    own = index or FingerprintIndex(spark, buckets=buckets, groups=groups)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)]).alias("c")).first()["c"] or [] if batches > 1 else []
     cuts = sorted(set(cuts))
-    lows, highs = [None, *cuts], [*cuts, None]
-    shared = None
-    for lo, hi in zip(lows, highs):
+    found = []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
         part = docs if lo is None else docs.where(F.col("doc_id") > lo)
-        part = part if hi is None else part.where(F.col("doc_id") <= hi)
-        found = index.add(part, keep=hi is not None)
-        shared = found if shared is None else shared.unionByName(found)
-    packed = _packed_texts(docs, groups)
+        found.append(own.add(part if hi is None else part.where(F.col("doc_id") <= hi)))
+    if index is None:
+        own.close()
+    shared = reduce(DataFrame.unionByName, found)
+    packed = _packed_texts(docs, own.groups, sieve(_ids(shared)))
+    buckets, groups = own.buckets, own.groups
     block = _Block(buckets, groups, False)
 
     def candidates(texts: pa.Table, hits: pa.Table) -> pa.Table:
@@ -318,16 +358,21 @@ def repeats(docs: DataFrame, batches: int = 2, index: FingerprintIndex | None =
         return pa.Table.from_batches(out, schema=_PACKED)
 
     rows = packed.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(candidates, PACKED)
-    return rows.groupBy("bucket").applyInArrow(_merge(groups, False, False), MERGED).drop("kind"), groups
+    hits = cut(rows.groupBy("bucket").applyInArrow(_merge(groups, False), MERGED).select(*_HITS.names), "digest-hits")
+    drop(*found)
+    return hits, groups
 
 
-def dedup(docs: DataFrame, batches: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space), text and the columns in `keep` of every row of docs.
 
     `text` is the row's own text where nothing was removed, else `kept`. Null or empty text: no words, kept ''. Documents of
-    under 13 words keep everything. Rows with the same doc_id are one document to each other: their windows don't count
-    against themselves. Null doc_id: kept whole, and counts against none. An empty table gives an empty result.
+    under 13 words keep everything. Rows with the same doc_id (repeats) are one document to each other: their windows don't
+    count against themselves. Equal windows of one document are no ties. Null doc_id: kept whole, and counts against none. Long
+    texts are judged whole. An empty table gives an empty result. `keep` takes no name of the result's own columns.
     """
+    if clash := {"doc_id", "n_words", "n_removed", "kept", "text"} & set(keep):
+        raise ValueError(f"columns of the result can't be kept besides: {sorted(clash)}")
     kinds = dict(docs.dtypes)
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
     hits, groups = repeats(known.select("doc_id", "text"), batches)
@@ -370,15 +415,19 @@ def dedup(docs: DataFrame, batches: int = 2, keep: tuple[str, ...] = ()) -> Data
         cols = [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())]
         return pa.Table.from_arrays([*cols, *(texts.column(c) for c in keep)], names=names)
 
-    done = _packed_texts(known, groups, keep).groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(settled, schema)
+    bits = sieve(_ids(hits))
+    done = _packed_texts(known, groups, bits, keep).groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(settled, schema)
 
     def whole(batches):
-        for b in X.pieces(batches):
-            t = [" ".join(x.decode() for x in (t or "").encode().split()) for t in b.column("text").to_pylist()]
-            n = [len(x.split(" ")) if x else 0 for x in t]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(t), pa.int64()), pa.array(n, pa.int64()), pa.array([0] * len(t), pa.int64()), pa.array(t, pa.string()), b.column("text"), *(b.column(c) for c in keep)], names=names)
-
-    return done.unionByName(docs.where("doc_id IS NULL").select("doc_id", "text", *keep).mapInArrow(whole, schema))
+        for batch in batches:
+            for b in X.pieces([batch.filter(pa.array(~bits.value.has(batch.column("_at"))))]):
+                t = [b" ".join((x or "").encode().split()) for x in b.column("text").to_pylist()]
+                n = [x.count(b" ") + 1 if x else 0 for x in t]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.zeros(len(t), np.int64)), pa.array([x.decode() for x in t], pa.string()), b.column("text"), *(b.column(c) for c in keep)], names=names)
+
+    # documents without a hit, and rows without an id, are kept whole where they are
+    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep, F.when(F.col("doc_id").isNotNull(), sieve_slot("doc_id")).alias("_at"))
+    return done.unionByName(rest.mapInArrow(whole, schema))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,14 +36,25 @@ def test_empty_table_and_null_id(spark, docs):
 
 def test_runs_are_merged(spark, docs):
     index = S.FingerprintIndex(spark, buckets=16, groups=64)
-    for k in range(7):
-        index.add(docs.where(f"doc_id % 7 = {k}"))
-    assert 0 < len(index.runs) <= S.MOST_RUNS
-    n = len(index.runs)
+    for k in range(5):
+        index.add(docs.where(f"doc_id % 5 = {k}"))
+    assert len(index.runs) == S.MOST_RUNS and index.compactions == 5 - S.MOST_RUNS
     index.compact()
-    assert len(index.runs) == min(n, 1)
-    again = index.add(docs.where("doc_id = 3"))
-    assert again.count() > 0
+    assert len(index.runs) == 1
+    copy = docs.where("doc_id = 3").withColumn("doc_id", docs.doc_id + 9000)
+    found = {r["doc_id"] for r in S._ids(index.add(copy)).distinct().collect()}
+    assert found == {3, 9003}  # history meets the batch; the first document of each anchor is returned with it
+    index.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("revstrand_run_")]
+
+
+def test_history_is_not_shuffled(spark, docs):
+    index = S.FingerprintIndex(spark, buckets=16, groups=64)
+    index.add(docs.where("doc_id < 30"))
+    index.add(docs.where("doc_id >= 30"))
+    plan = index._shared(index.runs[1], index.runs[0])._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "Exchange" not in plan
+    index.close()
 
 
 def test_columns_pass_and_untouched_texts_stay(spark, corpus, docs):
