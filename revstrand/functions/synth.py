@@ -95,6 +95,7 @@ PORTABLE = {
         (doc_id * 7919) % 400000 + 5000 - 1000 - (doc_id * 3) % 700 AS la0, (doc_id * 7919) % 400000 + 5000 - (doc_id * 5) % 300 AS la1,
         (doc_id * 7919) % 400000 + 5000 + (doc_id * 5) % 400 AS ra0, (doc_id * 7919) % 400000 + 5000 + CASE WHEN doc_id % 9 = 0 THEN 290000 ELSE 1000 END + (doc_id * 3) % 900 AS ra1
       FROM {documents}""",
+    "scanned": "SELECT DISTINCT CONCAT('c', CAST(doc_id % 12 AS STRING)) AS contig, CAST(doc_id % 7 * 50000 AS BIGINT) AS win_start FROM {documents}",
     # ids of two tools, a baseline's breakpoints, clips and events
     "ours": "SELECT CONCAT('r', CAST(doc_id AS STRING)) AS id, CASE WHEN doc_id % 5 < 3 THEN 'artefact' WHEN doc_id % 5 = 3 THEN 'low_ident' ELSE 'real' END AS decision, 1000 + (doc_id * 37) % 4500 AS refined_split FROM {documents} WHERE doc_id % 4 <> 1",
     "base": "SELECT CONCAT('r', CAST(doc_id AS STRING)) AS id, CASE WHEN doc_id % 17 = 0 THEN NULL ELSE 1000 + (doc_id * 37) % 4500 + (doc_id * 7919) % 1400 * (doc_id % 3) END AS bp FROM {documents} WHERE doc_id % 3 <> 1",

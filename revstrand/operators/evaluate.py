@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bases of a bin in which intervals are paired.
+BIN = 16384
+
+
 def overlap(a0, a1, b0, b1) -> Column:
     return F.greatest(F.least(a1, b1) - F.greatest(a0, b0), F.lit(0))
 
@@ -14,9 +18,12 @@ def match_truth(truth: DataFrame, calls: DataFrame, least: int = 100, share: flo
     """Each truth interval with its best overlapping call (null if none): truth(truth_id, contig, t0, t1), calls(call_id, contig, start, end, tir_ident).
 
     A pair matches at `least` overlapping bases or `share` of both. Best: overlap, its share of the truth, identity, shorter, first.
+    Intervals meet in bins of positions, so that only near ones of a contig are paired; a pair counts in the bin where it begins.
     """
-    c = calls.select("contig", "call_id", "start", "end", "tir_ident")
-    j = truth.join(c, "contig").withColumn("ov", overlap(F.col("t0"), F.col("t1"), F.col("start"), F.col("end"))).where("ov > 0")
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / BIN), F.floor((F.col(hi) - 1) / BIN)))
+    c = calls.where(F.col("end") > F.col("start")).select("contig", "call_id", "start", "end", "tir_ident").withColumn("_bin", bins("start", "end"))
+    t = truth.where(F.col("t1") > F.col("t0")).select("truth_id", "contig", "t0", "t1").withColumn("_bin", bins("t0", "t1"))
+    j = t.join(c, ["contig", "_bin"]).where(F.col("_bin") == F.floor(F.greatest("t0", "start") / BIN)).withColumn("ov", overlap(F.col("t0"), F.col("t1"), F.col("start"), F.col("end"))).where("ov > 0")
     t_len, c_len = F.greatest(F.col("t1") - F.col("t0"), F.lit(1)), F.greatest(F.col("end") - F.col("start"), F.lit(1))
     j = j.withColumn("recip_truth", F.col("ov") / t_len).withColumn("recip_call", F.col("ov") / c_len)
     j = j.where((F.col("ov") >= least) | ((F.col("recip_truth") >= share) & (F.col("recip_call") >= share)))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ReadConfig
+from ..storage import written
 from . import kernels as K
 
 CALLS = (
@@ -63,18 +64,25 @@ def support(called: DataFrame) -> DataFrame:
     return rows.groupBy("sig").agg(F.count("*").alias("n"), F.min("refined_split").alias("min_split"), F.max("refined_split").alias("max_split"), F.avg("hifi_identity").alias("mean_ident"))
 
 
+#: Leading characters of a signature that a part of the rank is made of: signatures are hexadecimal digests, so 4096 even parts.
+CELL = 3
+
+
 def support_rank(sup: DataFrame) -> DataFrame:
     """rank_frac: 1 for the best supported signature down to 0, by n and then signature.
 
-    percent_rank over everything needs one sorted task; the rank is built from counts per n (few distinct values) and a rank
-    inside equal n, which is partitioned.
+    percent_rank over everything needs one sorted task, and nearly all signatures have the same n. Signatures are counted per n and
+    leading characters; running sums over these few counts place each part, and only inside a part rows are ordered.
     """
-    per = sup.groupBy("n").agg(F.count("*").alias("c"))
-    before = per.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    before = before.withColumn("m", F.sum("c").over(Window.partitionBy()))
-    inside = sup.withColumn("pos", F.row_number().over(Window.partitionBy("n").orderBy("sig")))
+    sup = sup.withColumn("cell", F.substring("sig", 1, CELL))
+    cells = sup.groupBy("n", "cell").agg(F.count("*").alias("c"))
+    before = Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    per = cells.groupBy("n").agg(F.sum("c").alias("all")).withColumn("above", F.coalesce(F.sum("all").over(before), F.lit(0))).withColumn("m", F.sum("all").over(Window.partitionBy()))
+    inside = Window.partitionBy("n").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    at = cells.withColumn("ahead", F.coalesce(F.sum("c").over(inside), F.lit(0))).join(per, "n").select("n", "cell", "m", (F.col("above") + F.col("ahead")).alias("before"))
+    rows = sup.withColumn("pos", F.row_number().over(Window.partitionBy("n", "cell").orderBy("sig"))).join(at, ["n", "cell"])
     frac = F.when(F.col("m") <= 1, 1.0).otherwise(1.0 - (F.col("before") + F.col("pos") - 1) / (F.col("m") - 1))
-    return inside.join(before, "n").select("sig", "n", "min_split", "max_split", "mean_ident", frac.alias("rank_frac"))
+    return rows.select("sig", "n", "min_split", "max_split", "mean_ident", frac.alias("rank_frac"))
 
 
 def support_histogram(sup: DataFrame, width: int = 10, bar: int = 30) -> DataFrame:
@@ -99,7 +107,8 @@ def is_real(cfg: ReadConfig):
 def decide(called: DataFrame, sup: DataFrame, cfg: ReadConfig) -> DataFrame:
     """calls with support and `decision`: low_ident, unknown (no signature), real or artefact; null without refinement."""
     ranked = support_rank(sup)
-    rows = called.join(ranked, "sig", "left")
+    # reads without a signature stay where they are: joined, they would all be one key
+    rows = called.where("sig IS NOT NULL").join(ranked, "sig", "left").unionByName(called.where("sig IS NULL"), allowMissingColumns=True)
     said = (
         F.when(F.col("refined_split").isNull(), F.lit(None).cast("string")).when(F.col("hifi_identity") < cfg.min_identity, "low_ident")
         .when(F.col("sig").isNull(), "unknown").when(is_real(cfg), "real").otherwise("artefact")
@@ -208,7 +217,7 @@ def run_counters(reads: DataFrame, decided: DataFrame, kept: DataFrame) -> DataF
 
 def correct(reads: DataFrame, cfg: ReadConfig) -> tuple[DataFrame, DataFrame]:
     """(corrected reads, report): the whole of read mode. Calls are written once and reused."""
-    called = calls(reads, cfg).persist()
+    called = written(calls(reads, cfg), "calls")
     sup = support(called)
     decided = decide(called, sup, cfg)
     return corrected(reads, decided, sup, cfg), report(decided)
@@ -223,7 +232,7 @@ def sweep(reads: DataFrame, configs: dict[str, ReadConfig]) -> DataFrame:
     for tag, cfg in configs.items():
         key = replace(cfg, min_support=0, min_support_ident=0.0, max_depth=0, cut_low_ident=False)  # what calls don't depend on
         if key not in called:
-            called[key] = calls(reads, cfg).persist()
+            called[key] = written(calls(reads, cfg), "calls")
         rows = decide(called[key], support(called[key]), cfg)
         one = rows.agg(F.lit(tag).alias("tag"), F.count("*").alias("detected"), *[F.count_if(F.col("decision") == d).alias(d) for d in ("artefact", "low_ident", "real", "unknown")])
         out = one if out is None else out.unionByName(one)
@@ -231,18 +240,21 @@ def sweep(reads: DataFrame, configs: dict[str, ReadConfig]) -> DataFrame:
 
 
 def position_profile(reads: DataFrame, called: DataFrame, most: int = 500) -> DataFrame:
-    """Mean match of the two arms at each distance i from the junction, gap corrected."""
+    """Mean match of the two arms at each distance i from the junction, gap corrected. Tasks send one row per distance."""
     rows = reads.select("read_id", "seq").join(called.where("refined_split IS NOT NULL").select("read_id", "refined_split", "gap_est"), "read_id")
-    half = F.floor(F.col("gap_est") / 2)
-    left, right = F.col("refined_split") - half, F.col("refined_split") + half
-    n = F.greatest(F.least(left, F.length("seq") - right, F.lit(most)), F.lit(0))
-    from ..functions.seq import revcomp
-
-    arms = rows.select("read_id", F.reverse(F.expr("substring(seq, 1, int(refined_split - floor(gap_est / 2)))")).alias("l"), F.expr("substring(seq, int(refined_split + floor(gap_est / 2)) + 1)").alias("r"), n.cast("int").alias("n"))
-    arms = arms.select("read_id", F.reverse(revcomp("l")).alias("l"), "r", "n").where("n > 0")
-    at = arms.select("read_id", "l", "r", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    same = (F.expr("substring(l, i + 1, 1)") == F.expr("substring(r, i + 1, 1)")).cast("double")
-    return at.select("i", same.alias("m")).groupBy("i").agg(F.avg("m").alias("mean_match"), F.count("*").alias("n"))
+
+    def go(batches):
+        good, seen = np.zeros(most, np.int64), np.zeros(most, np.int64)
+        for b in batches:
+            for s, split, gap in zip(*(b.column(c).to_pylist() for c in ("seq", "refined_split", "gap_est"))):
+                m = K.arm_matches(K.as_array(s), split, gap, most)
+                good[: len(m)] += m
+                seen[: len(m)] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(good[at]), pa.array(seen[at])], names=["i", "good", "seen"])
+
+    sums = rows.select("seq", "refined_split", "gap_est").mapInArrow(go, "i int, good long, seen long").groupBy("i").agg(F.sum("good").alias("good"), F.sum("seen").alias("n"))
+    return sums.select("i", (F.col("good") / F.col("n")).alias("mean_match"), "n")
 
 
 def arm_length(profile: DataFrame, key: list[str], span: int = 50, least: float = 0.70) -> DataFrame:

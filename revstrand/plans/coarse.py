@@ -119,6 +119,14 @@ def _refine_ont(s, d):
     return R.calls(Y.reads(s, d), cfg).where("refined_split IS NOT NULL").select("read_id", "refined_split", "gap_est", F.round("identity_est", 6).alias("identity_est"))
 
 
+def _gap_scan(s, d):
+    return _calls(s, d).where("refined_split IS NOT NULL").select("read_id", "gap_est")
+
+
+def _identity_final(s, d):
+    return _calls(s, d).where("refined_split IS NOT NULL").select("read_id", F.round("identity_est", 6).alias("identity_est"))
+
+
 def _sig_local(s, d):
     return _calls(s, d).where("sig IS NOT NULL").select("read_id", "sig")
 
@@ -147,7 +155,7 @@ def _rolling(s, d):
 QUERIES = {
     "minimizer_selfjoin": _self_join, "antidiag_bins": _antidiag, "best_bin": _best, "topk_bins": _topk, "monotone_chain": _chain, "weighted_split": _split,
     "arm_bounds_t1": _arm_bounds, "coarse_detect": _coarse, "multi_hit": _multi, "refine_hifi": _refine, "refine_ont": _refine_ont, "sig_local": _sig_local, "sig_flank": _sig_flank,
-    "position_profile": _profile, "arm_len_rolling": _rolling,
+    "position_profile": _profile, "gap_scan": _gap_scan, "identity_final": _identity_final, "arm_len_rolling": _rolling,
 }
 
 RC = f"rcs AS (SELECT read_id, doc_id, {Y.rc_sql('seq')} AS seq FROM reads)"
@@ -216,6 +224,11 @@ ORACLE = {
       g AS (SELECT read_id, n, bin, cnt, count(*) AS m, max(p1) - min(p1) AS span, sum((p1 + p2) * (1.0::DOUBLE / greatest(abs(p1 - p2), 17))) / sum(1.0::DOUBLE / greatest(abs(p1 - p2), 17)) AS d FROM ch GROUP BY 1, 2, 3, 4)
       SELECT read_id, bin, cnt AS bin_count, split, m AS matches, span FROM (SELECT *, floor(round(d, 6) / 2 + 0.5::DOUBLE)::BIGINT AS split FROM g WHERE m >= 10 AND span >= 200) WHERE split >= 300 AND split + 300 <= n"""),
     "refine_hifi": _with(*POINTS, *BINS, *CHAIN, *REFINE, body=" SELECT read_id, refined_split::BIGINT AS refined_split, refined_score::BIGINT AS refined_score, gap_est::BIGINT AS gap_est, round(identity_est, 6) AS identity_est FROM refined"),
+    "gap_scan": _with(*POINTS, *BINS, *CHAIN, *REFINE, body=" SELECT read_id, gap_est::BIGINT AS gap_est FROM refined"),
+    "identity_final": _with(*POINTS, *BINS, *CHAIN, *REFINE, body=" SELECT read_id, round(identity_est, 6) AS identity_est FROM refined"),
+    "position_profile": _with(*POINTS, *BINS, *CHAIN, *REFINE, body=f""", h AS (SELECT seq, refined_split - gap_est // 2 AS l, refined_split + gap_est // 2 AS r FROM refined JOIN reads USING (read_id)),
+      p AS (SELECT seq, l, r, unnest(range(0, greatest(least(l, length(seq) - r, 500), 0)::BIGINT)) AS i FROM h)
+      SELECT i::INT AS i, round(avg(CASE WHEN translate(substr(seq, (l - i)::INT, 1), '{Y.S.IUPAC}', '{Y.S.COMPLEMENT}') = substr(seq, (r + i + 1)::INT, 1) THEN 1.0::DOUBLE ELSE 0 END), 6) AS mean_match, count(*) AS n FROM p GROUP BY 1"""),
     "sig_local": _with(*POINTS, *BINS, *CHAIN, *REFINE, *SIG, body=" SELECT * FROM sigs"),
     "sig_flank": _with(*_FLANK, body=", t AS (SELECT * FROM low WHERE rn <= 8) SELECT read_id, md5(string_agg(val::VARCHAR, ',' ORDER BY val)) AS sig FROM t GROUP BY 1 HAVING count(*) = 16"),
     "arm_len_rolling": _with(Y.table_sql("calls"), body=""",

@@ -55,13 +55,11 @@ def _milli(s, d):
 
 
 def _edits(s, d):
-    r = Y.reads(s, d).where("doc_id % 6 IN (0, 4)")
-    return r.select("read_id", S.banded_edits(F.substring("seq", 1, 200), F.substring(S.revcomp("seq"), 1, 200), 15).alias("ed"), S.banded_edits(F.substring("seq", 1, 60), F.substring("seq", 4, 60), 10).alias("ed_shift"))
+    return Y.reads(s, d).select("read_id", S.banded_edits("seq", S.revcomp("seq"), 15).alias("ed"), S.banded_edits(F.col("seq"), F.expr("substring(seq, 4)"), 10).alias("ed_shift"))
 
 
 def _hamming(s, d):
-    r = Y.reads(s, d).where("doc_id % 6 IN (0, 1, 2, 4)")
-    return r.select("read_id", S.hamming_matches(F.substring("seq", 1, 300), F.substring(S.revcomp("seq"), 1, 300)).alias("matches"))
+    return Y.reads(s, d).select("read_id", S.hamming_matches("seq", S.revcomp("seq")).alias("matches"))
 
 
 def _div_floor(s, d):
@@ -120,9 +118,22 @@ def _min_canon(s, d):
 
 
 def _repetitive(s, d):
-    m = _kernel_minimizers(Y.reads(s, d), False)
-    c = m.groupBy("read_id", "val").agg(F.count("*").alias("c"))
-    return c.groupBy("read_id").agg(F.count("*").alias("vals"), F.count_if(F.col("c") > 64).alias("dropped"), F.max("c").alias("most"))
+    import pyarrow as pa
+
+    from ..config import Sketch
+    from ..operators import kernels
+
+    def go(batches):
+        for b in batches:
+            rows = []
+            for i, x in zip(b.column("read_id").to_pylist(), b.column("seq").to_pylist()):
+                v = kernels.minimizers(kernels.as_array(x), Sketch(K, W))[1]
+                if len(v):
+                    left, all_ = (kernels.buckets(v, cap)[3] for cap in (64, len(v)))
+                    rows.append((i, len(all_), int((left == 0).sum()), int(all_.max())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3))], names=["read_id", "vals", "dropped", "most"])
+
+    return Y.reads(s, d).select("read_id", "seq").mapInArrow(go, "read_id string, vals long, dropped long, most long")
 
 
 def _gates(s, d):
@@ -151,8 +162,8 @@ ORACLE = {
     "label_prefix": _with(Y.table_sql("headers"), body=" SELECT regexp_replace(label, '_[^_]*$', '') AS prefix, count(*) AS n FROM headers_t GROUP BY 1"),
     "kv_detail": _with(Y.table_sql("clips"), body=" SELECT clip_no, regexp_extract(detail, 'unit_len=([0-9]+)', 1)::BIGINT AS unit_len, regexp_extract(detail, 'copies=([0-9]+)', 1)::BIGINT AS copies FROM clips_t"),
     "milli_fmt": _with(Y.table_sql("calls"), body=" SELECT read_id, printf('%d.%03d', floor(identity_est * 1000 + 0.5::DOUBLE)::BIGINT // 1000, floor(identity_est * 1000 + 0.5::DOUBLE)::BIGINT % 1000) AS ident, printf('%d.%03d', floor(identity_est / 7 * 1000 + 0.5::DOUBLE)::BIGINT // 1000, floor(identity_est / 7 * 1000 + 0.5::DOUBLE)::BIGINT % 1000) AS seventh FROM calls_t"),
-    "edit_distance_band": _with(Y.READS_SQL, body=f" SELECT read_id, least(levenshtein(substr(seq, 1, 200), substr({Y.rc_sql('seq')}, 1, 200)), 16)::BIGINT AS ed, least(levenshtein(substr(seq, 1, 60), substr(seq, 4, 60)), 11)::BIGINT AS ed_shift FROM reads WHERE doc_id % 6 IN (0, 4)"),
-    "hamming_identity": _with(Y.READS_SQL, body=f" SELECT read_id, (300 - hamming(substr(seq, 1, 300), substr({Y.rc_sql('seq')}, 1, 300)))::BIGINT AS matches FROM reads WHERE doc_id % 6 IN (0, 1, 2, 4)"),
+    "edit_distance_band": _with(Y.READS_SQL, body=f" SELECT read_id, least(levenshtein(seq, {Y.rc_sql('seq')}), 16)::BIGINT AS ed, least(levenshtein(seq, substr(seq, 4)), 11)::BIGINT AS ed_shift FROM reads"),
+    "hamming_identity": _with(Y.READS_SQL, body=f" SELECT read_id, (length(seq) - hamming(seq, {Y.rc_sql('seq')}))::BIGINT AS matches FROM reads"),
     "div_floor": " SELECT doc_id, floor((doc_id - 500)::DOUBLE / 120)::BIGINT AS bin FROM documents",
     "minimizers_fwd": _with(Y.READS_SQL, minimizers_sql("m", "reads"), body=" SELECT * FROM m"),
     "minimizers_canon": _with(Y.READS_SQL, minimizers_sql("m", "reads", True), body=" SELECT * FROM m"),

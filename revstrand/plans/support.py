@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import ReadConfig
 from ..functions import synth as Y
 from ..operators import readmode as R
+from ..storage import written
 from . import coarse as C
 from .scalar import _with
 
@@ -62,7 +63,7 @@ def _counters(s, d):
 
 def _whole(s, d):
     reads = Y.reads(s, d)
-    called = R.calls(reads, C.CFG).persist()
+    called = written(R.calls(reads, C.CFG), "calls")
     sup = R.support(called)
     return reads, sup, R.decide(called, sup, C.CFG)
 

@@ -198,6 +198,41 @@ def test_topk_and_bounds():
     assert K.trimmed_bounds(f.p1, f.p2, 10**6, 10**7, cfg) is None
 
 
+def test_lanes_against_one_pair_at_a_time():
+    r = np.random.default_rng(5)
+    for t in range(25):
+        a = A(dna(120, t) + "N" * int(r.integers(0, 5)) + rc(dna(120, t))[int(r.integers(0, 9)) :])
+        left, right = r.integers(1, len(a), 15), r.integers(0, len(a), 15)
+        size = np.array([r.integers(0, min(x, len(a) - y) + 1) for x, y in zip(left, right)])
+        band = int(r.integers(1, 70))
+        want = [K.edit_distance(a[x - n : x], K.revcomp(a[y : y + n]), band) for x, y, n in zip(left, right, size)]
+        assert K.lane_edits(a, left, right, size, band).tolist() == want
+
+
+def test_long_arms_are_aligned(monkeypatch):
+    x = dna(3000, 70)
+    y = rc(x[:1000] + dna(1500, 71) + x[1000:])  # an offset beyond any narrow band
+    got = K.arm_identity(A(x), A(y), 0.0)
+    assert abs(got - 3000 / 4500) < 0.02
+    monkeypatch.setattr(K, "LONG_ARM", 1)
+    assert K.arm_identity(A(x[:700]), A(rc(x[:300] + "ACGTACG" + x[300:700])), 0.0) == 700 / 707
+    for t in range(15):
+        one, two = A(dna(40 + t, t)), A(dna(37, t) + "ACG" + dna(9, t + 1))
+        assert K._gotoh_long(one, two, 64, -5, -1, 1, -1) == K._gotoh(one, two, 64, -5, -1, 1, -1)
+
+
+def test_trimmed_and_extreme_bounds_by_sorting():
+    a = A(dna(900, 80) + dna(60, 81) + rc(dna(900, 80)))
+    cfg = AssemblyConfig(min_matches=10, min_arm=200)
+    f = K.detect(a, cfg)
+    low, high = sorted(min(p) for p in zip(f.p1.tolist(), f.p2.tolist())), sorted(max(p) for p in zip(f.p1.tolist(), f.p2.tolist()))
+    near = [(p, q) for p, q in zip(f.p1.tolist(), f.p2.tolist()) if abs(p + q - 2 * f.split) <= 480]
+    left, right = sorted(map(min, near)), sorted(map(max, near))
+    at = lambda v, q: v[int(q * (len(v) - 1) + 0.5)]
+    assert K.trimmed_bounds(f.p1, f.p2, f.split, len(a), cfg) == (at(left, 0.1), at(left, 0.9) + 17, at(right, 0.1), min(at(right, 0.9) + 17, len(a)), len(near))
+    assert K.minmax_bounds(f.p1, f.p2, len(a), 17) == (low[0], low[-1] + 17, high[0], min(high[-1] + 17, len(a)))
+
+
 def test_config_precedence():
     assert read_config().min_matches == 20 and read_config("strict").sig == Signature(800, 10, 0)
     c = read_config("permissive", "ont", min_support=7, w=15)

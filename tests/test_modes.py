@@ -4,7 +4,9 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 from revstrand.config import AssemblyConfig, ReadConfig, Refine
+from revstrand.operators import evaluate as E
 from revstrand.operators import irmode as I
+from revstrand.operators import kernels as K
 from revstrand.operators import readmode as R
 from revstrand.sources import readers, sinks
 from revstrand.streaming import pass2
@@ -78,9 +80,9 @@ def test_assembly_mode_finds_planted_repeats(spark):
 def test_windows_cover_spans_and_stop(spark):
     rows = spark.createDataFrame([("a", "A" * 1000 + "N" + "C" * 450 + "NN" + "G" * 100)], "contig string, seq string")
     cfg = AssemblyConfig(min_arm=100, window_len=400, step=150)
-    w = sorted((r["win_start"], r["win_end"]) for r in I.windows(rows, cfg, seq=False).collect())
+    w = sorted((r["win_start"], r["win_end"]) for r in I.windows(rows, cfg).collect())
     assert w == [(0, 400), (150, 550), (300, 700), (450, 850), (600, 1000), (1001, 1401), (1151, 1451)]
-    whole = I.windows(rows, replace(cfg, window_len=0), seq=False).collect()
+    whole = I.windows(rows, replace(cfg, window_len=0)).collect()
     assert len(whole) == 2
 
 
@@ -119,7 +121,9 @@ def test_fasta_fastq_round_trip(spark, tmp_path):
         assert {r["read_id"]: r["seq"] for r in got.collect()} == want, name
     ids = spark.createDataFrame([("r3",), ("r7",)], "id string")
     assert {r["read_id"] for r in readers.extract(readers.read_fasta(spark, str(tmp_path / "a.fa")), ids).collect()} == {"r3 d@x", "r7 d@x"}
-    assert readers.first_n(readers.read_fasta(spark, str(tmp_path / "a.fa")), 4).count() == 4
+    for name in ("a.fa", "b.fq", "c.fa.gz", "d.fq.gz"):  # in file order, not by name
+        first = readers.first_n(readers.read_sequences(spark, str(tmp_path / name), 3, place=True), 11).collect()
+        assert [r["read_id"] for r in first] == list(want)[:11], name
 
 
 def test_tables_round_trip(spark, tmp_path):
@@ -145,7 +149,11 @@ def test_ir_sinks(spark, tmp_path):
     text = sinks.ir_fasta(calls, contigs, 5).first()[0]
     assert text == ">c:2-10|break=6|ident=0.900|tir_ident=NaN|matches=30|span=8|bin=1|class=spaced|spacer=1\nGTACG\nTAC"
     page = sinks.html_report(calls, "a <b>")
-    assert "a &lt;b&gt;" in page and '"contig": "c"' in page
+    assert "a &lt;b&gt;" in page and '"contig":"c"' in page and '"tir_ident":null' in page and page.count('class="cls"') == 4
+    many = spark.range(60_000).selectExpr("concat('c', id % 7, '</script>') contig", "id score", "1 matches", "id start", "id + 9 end", "0.9D tir_ident")
+    sinks.write_html_report(many, str(tmp_path / "h"), "all")
+    rows = spark.read.text(str(tmp_path / "h" / "rows"))
+    assert rows.count() == 60_000 and rows.where("value LIKE '%</script%'").count() == 0
 
 
 def test_stream_decides_like_the_batch(spark, tmp_path):
@@ -170,3 +178,68 @@ def test_sweep(spark):
     got = {r["tag"]: r for r in R.sweep(reads(spark), {"base": CFG, "s5": replace(CFG, min_support=5), "long": replace(CFG, min_arm=2800)}).collect()}
     assert (got["base"]["real"], got["base"]["artefact"]) == (4, 3) and (got["s5"]["real"], got["s5"]["artefact"]) == (0, 7)
     assert got["long"]["detected"] == 7
+
+
+def test_traps_of_ont_mode():
+    """T2, T3: support and the identity gate are hifi's, the reported split and identity are ont's, and hifi's where ont finds nothing."""
+    a = dna(1500, 60)
+    r = a + rc(a)
+    broken = r[:1700] + r[1701:1900] + "ACG" + r[1900:]  # indels: fine for ont, not for hifi
+    ont = replace(CFG, refine=replace(CFG.refine, mode="ont"))
+    x, y = R.call_read("x", broken, CFG), R.call_read("x", broken, ont)
+    assert y["hifi_identity"] == x["identity_est"] and y["sig"] == x["sig"] and y["identity_est"] != x["identity_est"]
+    none = replace(ont, refine=replace(ont.refine, max_ed_rate=0.0))
+    far = dna(1500, 61)[:400] + rc(dna(1500, 61))[-400:]
+    noisy = far[:150] + "A" * 40 + far[190:]
+    loose = replace(none, min_matches=5, min_arm=50, end_guard=50)
+    got, want = R.call_read("x", noisy, loose), R.call_read("x", noisy, replace(loose, refine=replace(loose.refine, mode="hifi")))
+    assert got == want and (got is None or got["refined_split"] is not None)
+
+
+def test_traps_of_cutting(spark):
+    """T4: an artefact keeps its suffix even where the cutter leaves it whole. T5: the first recursion sees the same signature."""
+    rows = reads(spark)
+    called = R.calls(rows, CFG)
+    sup, uncut = R.support(called), replace(CFG, max_depth=0)
+    decided = R.decide(called, sup, uncut)
+    artefacts = {r["read_id"] for r in decided.where("decision = 'artefact'").collect()}
+    got = {r["read_id"]: r for r in R.corrected(rows, decided, sup, uncut).collect()}
+    named = {k for k in got if "_chopped_at_" in k}
+    assert artefacts and {k.rsplit("_chopped_at_", 1)[0] for k in named} == artefacts
+    assert all(got[k]["keep_end"] == len(got[k]["seq_out"]) for k in named)
+    kept = R.first_cut(decided).withColumn("keep_end", F.col("len"))
+    assert R.run_counters(rows, decided, kept).first()["num_cut"] == 0
+    seqs = {r["read_id"]: r["seq"] for r in rows.collect()}
+    for r in called.where("sig IS NOT NULL").collect():
+        x = K.as_array(seqs[r["read_id"]])
+        f = K.detect(x, CFG)
+        assert K.signature(x, f, K.refine(x, f, CFG, "hifi").split, CFG) == r["sig"]
+
+
+def test_traps_of_candidates(spark):
+    """T6: equal group, score and matches are ordered by break position, not by bin rank. T11: raw arms, but normalised lengths."""
+    row = "contig string, win_start long, bin long, bin_rank long, break_pos long, matches long, identity_est double, grp int, start long, end long"
+    c = spark.createDataFrame([("c", 0, 1, 0, 900, 30, 0.9, 1, 800, 1000), ("c", 0, 2, 3, 850, 30, 0.9, 1, 790, 1010)], row)
+    assert [r["break_pos"] for r in I.dedup_b(I.ranked(c), AssemblyConfig()).collect()] == [850]
+    h = spark.createDataFrame([(500, 700, 100, 350, 5000)], "la0 long, la1 long, ra0 long, ra1 long, contig_len long")
+    x = I.arms(h).first()
+    assert (x["la0"], x["la1"], x["ra0"], x["ra1"]) == (500, 700, 100, 350) and (x["arm_len"], x["spacer"], x["start"]) == (200, 150, 100)
+
+
+def test_intervals_meet_in_bins(spark):
+    r = random.Random(2)
+    t = [(i, f"c{r.randrange(2)}", a := r.randrange(200_000), a + r.choice([0, 50, 400, 30_000, 70_000])) for i in range(60)]
+    c = [(i, f"c{r.randrange(2)}", a := r.randrange(200_000), a + r.choice([0, 80, 500, 20_000, 60_000]), r.random()) for i in range(80)]
+    truth, calls = spark.createDataFrame(t, "truth_id long, contig string, t0 long, t1 long"), spark.createDataFrame(c, "call_id long, contig string, start long, `end` long, tir_ident double")
+    got = {x["truth_id"]: x["call_id"] for x in E.match_truth(truth, calls).collect()}
+    for i, k, a, z in t:
+        best = max(((min(z, e) - max(a, s), q, s - e, -j) for j, kk, s, e, q in c if kk == k and (ov := min(z, e) - max(a, s)) > 0 and (ov >= 100 or (ov >= 0.25 * (z - a) and ov >= 0.25 * (e - s)))), default=None)
+        assert got[i] == (best and -best[3]), i
+
+
+def test_support_rank_of_one_support(spark):
+    sigs = sorted(f"{i * 2654435761 % 2**32:08x}" for i in range(700))
+    sup = spark.createDataFrame([(s, 1 + (s < "2"), 0, 0, 0.9) for s in sigs], "sig string, n long, min_split long, max_split long, mean_ident double")
+    want = sorted(sigs, key=lambda s: (s >= "2", s))
+    got = {r["sig"]: r["rank_frac"] for r in R.support_rank(sup).collect()}
+    assert all(abs(got[s] - (1 - i / 699)) < 1e-12 for i, s in enumerate(want))

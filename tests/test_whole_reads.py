@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from revstrand.functions import synth as Y
+from revstrand.operators import irmode
 from revstrand.operators import readmode as R
 from revstrand.plans import assembly, coarse
 
@@ -42,8 +43,19 @@ def test_contigs_of_every_read(spark, sf):
     got = Counter(r["contig"] for r in assembly.contigs(spark, sf).select("contig").collect())
     assert got == {f"c{i}": 1 for i in range(96, 120)}
     called = {r["contig"] for r in query("tir_ident")(spark, sf).select("contig").collect()}
-    bounds = {r["contig"] for r in query("arm_bounds_minmax")(spark, sf).select("contig").collect()}
+    bounds = {r["read_id"] for r in query("arm_bounds_minmax")(spark, sf).select("read_id").collect()}
+    windows = {r["contig"] for r in query("ir_windows")(spark, sf).select("contig").collect()}
     assert {r["contig"] for r in query("ir_calls")(spark, sf).select("contig").collect()} == called
     for kind in (0, 1, 3, 4):
         assert any(int(c[1:]) % 6 == kind for c in called) and any(int(c[1:]) % 6 == kind for c in bounds), kind
-    assert any(int(c[1:]) % 2 for c in called)
+    assert any(int(c[1:]) % 2 for c in called) and windows == set(got)
+
+
+def test_one_detection_and_time_linear_in_the_contig(spark):
+    """Windows are scanned once for the calls, and what is dealt to tasks is about twice the contig whatever its length."""
+    rows = spark.createDataFrame([("c", "ACGT" * 5000), ("d", "ACGT" * 20_000)], "contig string, seq string")
+    cfg = coarse.replace(assembly.SMALL, window_len=1000, step=200)
+    size = {r["contig"]: r["n"] for r in irmode.tiles(rows, cfg).selectExpr("contig", "length(tile_seq) n").groupBy("contig").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert size["c"] < 2 * 20_000 and abs(size["d"] / size["c"] - 4) < 0.1
+    plan = irmode.call_irs(rows, cfg)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 4 and "tile_seq" not in plan  # chunks and arms; hits are read, not found again
