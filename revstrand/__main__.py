@@ -69,6 +69,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     from .operators import irmode, readmode
     from .sources import readers, sinks
+    from .storage import written
 
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("revstrand").getOrCreate()
@@ -82,14 +83,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from .functions.seq import first_token
 
     contigs = rows.select(first_token("read_id").alias("contig"), "seq")
-    calls = irmode.call_irs(contigs, assembly_settings(a)).persist()
+    calls = written(irmode.call_irs(contigs, assembly_settings(a)), "calls")
     if a.tsv:
         sinks.write_ir_tsv(calls, a.tsv, a.classify)
     if a.fasta:
         sinks.write_ir_fasta(calls, contigs, a.fasta, a.fasta_wrap)
     if a.html:
-        with open(a.html, "w") as f:
-            f.write(sinks.html_report(calls, os.path.splitext(os.path.basename(a.html))[0]))
+        sinks.write_html_report(calls, a.html, os.path.splitext(os.path.basename(a.html.rstrip("/")))[0])
     return 0
 
 

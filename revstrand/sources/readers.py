@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 from ..functions import seq as S
 
 
-def read_fasta(spark: SparkSession, path, partitions: int | None = None) -> DataFrame:
-    """read_id (whole header), seq (upper case, IUPAC or N) of FASTA files, plain (split anywhere) or gzip.
+#: Columns that put records in the order of their files: file, block of the file, and a number that rises inside a block.
+PLACE = ("file", "block", "at")
+
+
+def read_fasta(spark: SparkSession, path, partitions: int | None = None, place: bool = False) -> DataFrame:
+    """read_id (whole header), seq (upper case, IUPAC or N) of FASTA files, plain (split anywhere) or gzip; with `place` PLACE too.
 
     A gzip file is one task's work to unpack; `partitions` deals its records out afterwards.
     """
     raw = spark.read.option("lineSep", "\n>").text(path)
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")] if place else []
+    raw = raw.select("value", *where)
     rec = F.regexp_replace("value", "^>", "")
     head = F.regexp_replace(F.substring_index(rec, "\n", 1), "\r$", "")
     body = F.regexp_replace(F.expr("substring(_r, length(substring_index(_r, '\n', 1)) + 1)"), r"\s", "")
-    rows = raw.withColumn("_r", rec).where(F.length(F.trim("_r")) > 0).select(head.alias("read_id"), S.clean(body).alias("seq"))
+    rows = raw.withColumn("_r", rec).where(F.length(F.trim("_r")) > 0).select(head.alias("read_id"), S.clean(body).alias("seq"), *(PLACE if place else ()))
     rows = rows.withColumn("len", F.length("seq").cast("long"))
     return rows.repartition(partitions) if partitions else rows
 
@@ -57,40 +63,41 @@ def list_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
-def read_fastq(spark: SparkSession, path: str, partitions: int | None = None, batch: int = 256) -> DataFrame:
-    """read_id, seq, len of FASTQ files, plain or gzip: a task per file streams it record by record."""
+def read_fastq(spark: SparkSession, path: str, partitions: int | None = None, batch: int = 256, place: bool = False) -> DataFrame:
+    """read_id, seq, len of FASTQ files, plain or gzip, with `place` PLACE too: a task per file streams it record by record."""
     files = list_files(spark, path)
     if not files:
-        return spark.createDataFrame([], "read_id string, seq string, len long")
+        return spark.createDataFrame([], "read_id string, seq string, len long" + (", file string, block long, at long" if place else ""))
     names = spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files), "file")
 
     def go(batches):
         for b in batches:
             for f in b.column("file").to_pylist():
-                ids, seqs = [], []
+                rows, n = [], 0
                 with _open(f) as raw:
                     for h, s in _records(io.TextIOWrapper(raw, encoding="utf-8", errors="replace")):
-                        ids.append(h)
-                        seqs.append(s)
-                        if len(ids) == batch:
-                            yield pa.RecordBatch.from_pydict({"read_id": ids, "seq": seqs})
-                            ids, seqs = [], []
-                if ids:
-                    yield pa.RecordBatch.from_pydict({"read_id": ids, "seq": seqs})
-
-    rows = names.mapInArrow(go, "read_id string, seq string").select("read_id", S.clean("seq").alias("seq"))
+                        rows.append((h, s, f, 0, n))
+                        n += 1
+                        if len(rows) == batch:
+                            yield pa.RecordBatch.from_pydict(dict(zip(names_, map(list, zip(*rows)))))
+                            rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pydict(dict(zip(names_, map(list, zip(*rows)))))
+
+    names_ = ("read_id", "seq", *PLACE)
+    rows = names.mapInArrow(go, "read_id string, seq string, file string, block long, at long").select("read_id", S.clean("seq").alias("seq"), *(PLACE if place else ()))
     rows = rows.withColumn("len", F.length("seq").cast("long"))
     return rows.repartition(partitions) if partitions else rows
 
 
-def read_sequences(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+def read_sequences(spark: SparkSession, path: str, partitions: int | None = None, place: bool = False) -> DataFrame:
     """FASTA or FASTQ by the first character of the first file."""
     files = list_files(spark, path)
     if not files:
         raise FileNotFoundError(path)
     with _open(files[0]) as f:
         first = f.read(1)
-    return read_fastq(spark, path, partitions) if first == b"@" else read_fasta(spark, path, partitions)
+    return read_fastq(spark, path, partitions, place=place) if first == b"@" else read_fasta(spark, path, partitions, place)
 
 
 def read_tsv(spark: SparkSession, path, schema: str) -> DataFrame:
@@ -126,9 +133,12 @@ def read_ids(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).where(F.length(F.trim("value")) > 0).select(S.canonical_id(F.trim("value")).alias("id")).distinct()
 
 
-def first_n(reads: DataFrame, n: int, order: str = "read_id") -> DataFrame:
-    """The first n reads in a stated order; 0 keeps all."""
-    return reads if n <= 0 else reads.orderBy(order).limit(n)
+def first_n(reads: DataFrame, n: int, order: str | None = None) -> DataFrame:
+    """The first n reads: in file order where reads were read with their place, else by `order` (read_id); 0 keeps all."""
+    if n <= 0:
+        return reads
+    by = [order] if order else list(PLACE) if set(PLACE) <= set(reads.columns) else ["read_id"]
+    return reads.orderBy(*by).limit(n)
 
 
 def extract(reads: DataFrame, ids: DataFrame) -> DataFrame:

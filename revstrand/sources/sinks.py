@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
+from ..storage import write_text
 
+# Columns of the report and of the inverted-repeat table, in file order.
 REPORT = (
     "read_id", "len", "event", "called", "coarse_split", "refined_split", "delta", "matches", "span_p1", "p2_span", "cross_frac", "coarse_score", "refined_score",
     "identity_est", "gap_est", "support_n", "support_rank_frac", "support_span", "decision",
@@ -78,25 +80,61 @@ def write_ir_fasta(calls: DataFrame, contigs: DataFrame, path: str, width: int =
     ir_fasta(calls, contigs, width).write.text(path)
 
 
-_PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>{title}</title><style>body{{font:14px sans-serif;margin:2em}}td,th{{padding:2px 8px;text-align:right;border-bottom:1px solid #ddd}}label{{margin-right:1em}}</style></head>
-<body><h1>{title}</h1><p id="n"></p><div>{controls}</div><table><thead><tr id="h"></tr></thead><tbody id="b"></tbody></table>
-<script>const rows={rows};const cols=rows.length?Object.keys(rows[0]):[];
-document.getElementById('h').innerHTML=cols.map(c=>'<th>'+c+'</th>').join('');
-function draw(){{const v=i=>+document.getElementById(i).value;
-const keep=rows.filter(r=>r.tir_ident!=null&&r.tir_ident>=v('tir_ident')&&r.kept_pts>=v('kept_pts')&&r.matches>=v('matches')&&r.arm_len>=v('arm_len')&&r.spacer>=v('spacer'));
-document.getElementById('n').textContent=keep.length+' of '+rows.length+' calls';
-const t=document.getElementById('b');t.replaceChildren();for(const r of keep){{const e=t.insertRow();for(const c of cols)e.insertCell().textContent=r[c]??'';}}}}
-document.querySelectorAll('input').forEach(i=>i.oninput=draw);draw();</script></body></html>"""
-#: Fixed defaults of the page's filters.
+_PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>{title}</title><style>
+body{{font:14px sans-serif;margin:2em}}td,th{{padding:2px 8px;text-align:right;border-bottom:1px solid #ddd}}th{{cursor:pointer}}
+label{{margin-right:1em}}.charts{{display:flex;flex-wrap:wrap;gap:2em}}svg{{background:#fafafa}}rect{{fill:#47a}}</style></head>
+<body><h1>{title}</h1><p id="n"></p><div id="controls">{controls}</div><div class="charts" id="charts"></div><div id="contigs"></div>
+<p><button id="prev">previous</button> <span id="page"></span> <button id="next">next</button></p>
+<table><thead><tr id="h"></tr></thead><tbody id="b"></tbody></table>
+<script>const rows=[];function push(r){{rows.push(r)}}</script>
+{data}
+<script>
+const PAGE=200,BINS=30,cols={columns};let page=0,kept=[],by=null,up=true;
+const el=i=>document.getElementById(i),v=i=>+el(i).value;
+function chosen(){{return new Set([...document.querySelectorAll('.cls')].filter(c=>c.checked).map(c=>c.value))}}
+function bars(name,values,lo,hi){{const n=Array(BINS).fill(0);for(const x of values)if(x>=lo&&x<=hi)n[Math.min(BINS-1,Math.floor((x-lo)/(hi-lo)*BINS))]++;
+const top=Math.max(1,...n);let s='<figure><figcaption>'+name+' ('+lo+' to '+hi+')</figcaption><svg width="300" height="120">';
+n.forEach((c,i)=>{{const h=110*c/top;s+='<rect x="'+i*10+'" y="'+(120-h)+'" width="9" height="'+h+'"><title>'+c+'</title></rect>'}});return s+'</svg></figure>'}}
+function filter(){{const k=chosen();kept=rows.filter(r=>r.tir_ident!=null&&r.tir_ident>=v('tir_ident')&&r.kept_pts>=v('kept_pts')&&r.matches>=v('matches')&&r.arm_len>=v('arm_len')&&r.spacer>=v('spacer')&&k.has(r.ir_class));
+if(by)kept.sort((a,b)=>(a[by]>b[by]?1:a[by]<b[by]?-1:0)*(up?1:-1));page=0;
+const m=Math.max(1,...kept.map(r=>r.end-r.start));
+el('charts').innerHTML=bars('arm identity',kept.map(r=>r.tir_ident),0,1)+bars('interval length',kept.map(r=>r.end-r.start),0,m)+bars('spacer',kept.map(r=>r.spacer),0,Math.max(1,...kept.map(r=>r.spacer)));
+const c={{}};for(const r of kept)(c[r.contig]=c[r.contig]||{{n:0,len:r.contig_len}}).n++;
+const list=document.createElement('ul');for(const [k,x] of Object.entries(c).sort((a,b)=>b[1].n-a[1].n).slice(0,25)){{const li=document.createElement('li');li.textContent=k+': '+x.n+' calls, '+x.len+' bases';list.append(li)}}
+el('contigs').replaceChildren(list);draw()}}
+function draw(){{const last=Math.max(0,Math.ceil(kept.length/PAGE)-1);page=Math.min(Math.max(page,0),last);
+el('n').textContent=kept.length+' of '+rows.length+' calls';el('page').textContent=(page+1)+' / '+(last+1);
+const t=el('b');t.replaceChildren();for(const r of kept.slice(page*PAGE,(page+1)*PAGE)){{const e=t.insertRow();for(const c of cols)e.insertCell().textContent=r[c]??''}}}}
+for(const c of cols){{const h=document.createElement('th');h.textContent=c;h.onclick=()=>{{up=by===c?!up:true;by=c;filter()}};el('h').append(h)}}
+el('prev').onclick=()=>{{page--;draw()}};el('next').onclick=()=>{{page++;draw()}};
+document.querySelectorAll('input').forEach(i=>i.oninput=filter);filter();</script></body></html>"""
+#: Fixed defaults of the page's filters, and the classes that can be shown.
 FILTERS = {"tir_ident": 0.5, "kept_pts": 50, "matches": 50, "arm_len": 500, "spacer": 0}
-#: A page is for people: this many calls at most, best first.
-MOST_ROWS = 50_000
+CLASSES = ("overlap", "immediate", "spaced", "wide")
 
 
-def html_report(calls: DataFrame, title: str) -> str:
-    """A page with the calls as JSON and the dashboard's filters."""
-    best = calls.orderBy(F.desc("score"), F.desc("matches"), "contig", "start").limit(MOST_ROWS)
-    rows = [json.loads(r[0]) for r in best.select(F.to_json(F.struct(*best.columns))).collect()]
-    rows = [dict.fromkeys(best.columns) | r for r in rows]
+def _page(calls: DataFrame, title: str, data: str) -> str:
     controls = "".join(f'<label>{k} <input id="{k}" type="number" step="any" value="{v}"></label>' for k, v in FILTERS.items())
-    return _PAGE.format(title=html.escape(title), rows=json.dumps(rows).replace("</", "<\\/"), controls=controls)
+    controls += "".join(f'<label><input class="cls" type="checkbox" value="{c}" checked> {c}</label>' for c in CLASSES)
+    return _PAGE.format(title=html.escape(title), controls=controls, data=data, columns=json.dumps(calls.columns))
+
+
+def _rows(calls: DataFrame) -> DataFrame:
+    """A script line per call, best first."""
+    whole = F.to_json(F.struct(*calls.columns), {"ignoreNullFields": "false"})
+    return calls.orderBy(F.desc("score"), F.desc("matches"), "contig", "start").select(F.concat(F.lit("push("), F.replace(whole, F.lit("</"), F.lit("<\\/")), F.lit(");")).alias("value"))
+
+
+def html_report(calls: DataFrame, title: str) -> str:
+    """One page with every call, the dashboard's filters and charts. All calls come to the driver: `write_html_report` is for many."""
+    return _page(calls, title, "<script>" + "\n".join(r[0] for r in _rows(calls).toLocalIterator()) + "</script>")
+
+
+def write_html_report(calls: DataFrame, path: str, title: str) -> None:
+    """A folder with index.html and every call in script files beside it, written by the tasks."""
+    spark = calls.sparkSession
+    _rows(calls).write.text(f"{path}/rows")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    names = sorted(s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p))
+    data = "\n".join(f'<script src="rows/{n}"></script>' for n in names if n.startswith("part-"))
+    write_text(spark, f"{path}/index.html", _page(calls, title, data))

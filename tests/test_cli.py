@@ -24,9 +24,10 @@ def test_correct_and_scan(spark, tmp_path):
     assert got == {"one x_chopped_at_3000": 3000, "two": 4000}
     assert readers.read_tsv(spark, rep, "decision string").collect()[0][0] == "artefact"
     (tmp_path / "c.fa").write_text(f">c1 desc\n{dna(6000, 3) + a + rc(a) + dna(6000, 4)}\n")
-    page = tmp_path / "page.html"
+    page = tmp_path / "page"
     assert main(["scan", str(tmp_path / "c.fa"), "-b", str(tmp_path / "b"), "-f", str(tmp_path / "f"), "--html", str(page)], spark) == 0
-    assert readers.read_tsv(spark, str(tmp_path / "b"), "contig string, break_pos long").first()["contig"] == "c1" and "c1" in page.read_text()
+    assert readers.read_tsv(spark, str(tmp_path / "b"), "contig string, break_pos long").first()["contig"] == "c1" and "rows/part-" in (page / "index.html").read_text()
+    assert "c1" in "".join(f.read_text() for f in (page / "rows").glob("part-*"))
 
 
 def test_generated_truth_is_recovered(spark):
@@ -35,5 +36,6 @@ def test_generated_truth_is_recovered(spark):
     calls = I.call_irs(contigs, AssemblyConfig()).selectExpr("row_number() over (order by contig, start) call_id", "*")
     t = truth.where("planted").selectExpr("contig truth_id", "contig", "scenario_group", "la0 t0", "ra1 t1", "1.0D true_identity")
     got = {r["scenario_group"]: r["detected"] for r in E.match_truth(t, calls).collect()}
-    assert all(got[g] for g in ("clean_high_identity", "class_spacing", "gc_bias", "asymmetric")) and not got["micro_ir"]
+    assert all(got[g] for g in ("clean_high_identity", "class_spacing", "gc_bias", "asymmetric", "reused_family")) and not got["micro_ir"]
+    assert calls.where("contig LIKE 'negative%'").count() == 0
     assert E.false_positives(calls, E.match_truth(t, calls)).count() == 0
