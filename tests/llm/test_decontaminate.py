@@ -28,11 +28,11 @@ def brute(text, items, window, rate):
         t = norm(t).encode()
         if not t:
             continue
-        if len(t) < D.LEAST:
-            if t == text:
+        if len(t) < 24:  # verbatim, as whole words
+            if b" " + t + b" " in b" " + text + b" ":
                 hit.add(name)
             continue
-        at = [0] if len(t) <= window else [*range(0, len(t) - window, window // 2), len(t) - window]
+        at = [0] if len(t) <= window else [*range(0, len(t) - window, int(window * rate)), len(t) - window]
         for s in at:
             p = t[s : s + window]
             e = int(len(p) * rate)
@@ -48,8 +48,8 @@ def planted():
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(2, 7)))
     say = lambda n: " ".join(word() for _ in range(n))
-    items = [(i, say(r.choice([3, 8, 15, 40]))) for i in range(12)] + [(99, "tiny"), (98, "")]
-    texts = [None, "", "tiny", " Tiny! ", "not tiny at all"]
+    items = [(i, say(r.choice([3, 8, 15, 40]))) for i in range(12)] + [(99, "tiny"), (97, "Tiny!"), (96, "so small a text: 22b"), (98, ""), (95, "?!")]
+    texts = [None, "", "tiny", " Tiny! ", "not tiny at all", "not atiny", "this is so small, a text 22B it is", "this is so small, a text 22bits"]
     for _ in range(60):
         t = list(r.choice(items)[1])
         for _ in range(r.choice([0, 0, 2, 5, 9, 14, 30])):
@@ -81,6 +81,22 @@ def test_query_edges(spark, docs, planted):
     assert [x["item_id"] for x in hit] == [longest[0]] and hit[0]["edits"] == 0
 
 
+def test_short_items_and_items_of_equal_text():
+    p = D.patterns([(1, "tiny"), (2, "Tiny!"), (3, "one item of 22 bytes!"), (4, "An item that is as long as a pattern would be, said twice."), (5, "an item that is AS LONG as a pattern would be - said twice")])
+    texts = ["so tiny it is", "untiny", "there is one ITEM of 22 bytes, inside", "he: an item that is as long as a pattern would be, said twice, here"]
+    assert [[i for i, _, _ in g] for g in D.matches(pa.array(texts), p)] == [[1, 2], [], [3], [4, 5]]
+
+
+def test_long_texts_are_searched_whole():
+    r = random.Random(9)
+    say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
+    items = [(i, say(30)) for i in range(5)]
+    filler, p = say(30000), D.patterns(items)
+    for at in (0, 1, 511, 512, 513, 77777, len(filler) - 1):  # wherever slices begin and end
+        text = filler[:at] + " " + items[at % 5][1] + " " + filler[at:]
+        assert [i for i, _, _ in D.matches(pa.array([text]), p)[0]] == [at % 5]
+
+
 def test_blocks_give_the_same(spark, planted, monkeypatch):
     items, texts = planted
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
