@@ -20,11 +20,12 @@ ORDER = 4
 BUCKETS = 1 << 16
 #: Documents per language that the model is fitted on (a bounded sample by hash order of the ids; see `train`).
 PER_LANGUAGE = 3000
-FIRST_ROUNDS, MORE_ROUNDS = 5, 8
+#: Expectation-maximisation ends when no share moves by more than this, or after so many rounds.
+SETTLED, MOST_ROUNDS = 2e-3, 60
+#: Languages that a model may have: each takes a column of the table that goes to the executors.
+MOST_LANGUAGES = 512
 #: Bytes of text whose four-grams are held at once.
 PIECE = 1 << 20
-#: Shares below this go at once when languages are eliminated.
-LEAST_SHARE = 0.02
 UNKNOWN = "und"
 _LETTER = np.array([chr(c).isalpha() or c >= 0x80 for c in range(256)])
 
@@ -61,6 +62,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     known = docs.where("lang IS NOT NULL")
     sizes = {r["lang"]: r["c"] for r in known.groupBy("lang").agg(F.count("*").alias("c")).collect()}
     langs = sorted(sizes)
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} distinct values of lang; more than {MOST_LANGUAGES} aren't languages")
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)))
     rate = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, per_language / sizes[k]))])
@@ -85,19 +88,42 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(langs, counts)
 
 
-def _em(p, c, start, size, share, rounds):
-    """Shares of each document after some rounds, and its log-likelihood before the last one."""
-    total = np.add.reduceat(c, start)[:, None]
-    like = None
-    for _ in range(rounds):
-        r = p * np.repeat(share, size, axis=0)
-        s = r.sum(axis=1)
-        like = np.add.reduceat(c * np.log(s), start)
-        r *= (c / s)[:, None]
-        share = np.add.reduceat(r, start, axis=0) / total
+def _step(p, c, start, size, share):
+    """One round: the shares of each document after it, and its log-likelihood before."""
+    r = p * np.repeat(share, size, axis=0)
+    s = r.sum(axis=1)
+    like = np.add.reduceat(c * np.log(s), start)
+    r *= (c / s)[:, None]
+    return np.add.reduceat(r, start, axis=0) / np.add.reduceat(c, start)[:, None], like
+
+
+def _em(p, c, start, size, share):
+    """Shares of each document once they have settled, and their log-likelihood. Settled documents take no further rounds."""
+    share, like, live = share.copy(), np.zeros(len(share)), np.arange(len(share))
+    for _ in range(MOST_ROUNDS):
+        now, value = _step(p, c, start, size, share[live])
+        moved = np.abs(now - share[live]).max(axis=1) > SETTLED
+        share[live], like[live] = now, value
+        if not moved.any():
+            break
+        if moved.mean() < 0.7:
+            at, to, num = _take(start, size, np.flatnonzero(moved))
+            p, c, start, size, live = p[at], c[at], to, num, live[moved]
     return share, like
 
 
+def _worthless(share, total, cost):
+    """Languages that go at once: the smallest shares that together explain less than one language costs.
+
+    Without shares of sum s every gram keeps at least 1 - s of its probability, so their loss is at most -total log(1 - s).
+    """
+    order = np.argsort(share, axis=1)
+    s = np.minimum(np.cumsum(np.take_along_axis(share.astype(np.float64), order, axis=1), axis=1), 1 - 1e-12)
+    gone = np.zeros(share.shape, bool)
+    np.put_along_axis(gone, order, -total[:, None] * np.log1p(-s) / ORDER <= cost[:, None], axis=1)
+    return gone
+
+
 def _take(start, size, some):
     n = size[some]
     to = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -130,22 +156,23 @@ def infer(texts: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray]:
     won = np.zeros((len(has), k))
     won[np.arange(len(has)), best] = 1.0
     score = alone.max(axis=1) / ORDER - cost
-    share, _ = _em(p, c, start, size, np.full((len(has), k), 1.0 / k, np.float32), FIRST_ROUNDS)
-    live = np.flatnonzero(np.sort(share, axis=1)[:, -2] >= LEAST_SHARE)
-    share = share[live]
-    while len(live):  # backward elimination: refine the shares of the set, compare, drop the smallest
-        share = np.where(share < LEAST_SHARE, 0, share).astype(np.float32)
-        share /= share.sum(axis=1, keepdims=True)
+    share, _ = _em(p, c, start, size, np.full((len(has), k), 1.0 / k, np.float32))
+    live = np.arange(len(has))
+    while True:  # backward elimination: drop what can't pay, settle the rest, compare, drop the smallest
+        gone = _worthless(share, total[live], cost[live])
+        share = np.where(gone, 0, share).astype(np.float32)
+        share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-9)
         more = (share > 0).sum(axis=1) > 1
         live, share = live[more], share[more]
         if not len(live):
             break
         at, to, num = _take(start, size, live)
-        share, like = _em(p[at], c[at], to, num, share, MORE_ROUNDS)
+        share, like = _em(p[at], c[at], to, num, share)
         value = like / ORDER - cost[live] * (share > 0).sum(axis=1)
         better = value > score[live]
         won[live[better]], score[live[better]] = share[better], value[better]
         share[np.arange(len(live)), np.where(share > 0, share, 2).argmin(axis=1)] = 0
+        share /= share.sum(axis=1, keepdims=True)
     shares[has] = won
     return shares, sure
 
@@ -153,8 +180,9 @@ def infer(texts: pa.Array, m: Model) -> tuple[np.ndarray, np.ndarray]:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs' rows with lang_pred, score, shares (map of the selected languages), other (share of no language).
 
-    Null or letterless text: lang_pred 'und', score 0, no shares. Without any learned language every text is 'und'. Other
-    columns pass through unchanged; the four new ones replace columns of those names.
+    Null or letterless text: lang_pred 'und', score 0, no shares. Without any learned language every text is 'und'. Languages that
+    explain a text equally well are taken in code-point order. Long texts are read whole. Repeated rows and equal texts are judged
+    alike. An empty table gives an empty result. Other columns pass through unchanged; the four new ones replace columns of those names.
     """
     out = ["lang_pred", "score", "shares", "other"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
