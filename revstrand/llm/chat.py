@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from ._spark import table
 
 
+#: Runs of the loss mask per turn: what comes before its text, the text, and what comes after.
+RUNS = 3
+
+
 @dataclass(frozen=True)
 class Template:
     """Control strings of a chat template. `reserved` are further strings that models read as control; they are escaped too."""
@@ -88,8 +92,9 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
     """One row per conv_id: formatted, recovered (turns read back from it), loss_runs, n_turns, escaped, round_trip.
 
     turns: conv_id, turn, role, text (more columns are ignored). Turns are ordered by turn, then role and text; repeated
-    rows stay. Null role or text: empty. Null conv_id: one conversation of its own. Empty table: no rows. `loss_runs` is the
-    loss mask as run lengths over the code points of `formatted`: array<struct<n, loss>>.
+    rows stay, and ties in turn, role and text are the same text. Null role or text: empty. Null conv_id: one conversation of its
+    own. Long texts are formatted whole. Columns of turns that clash with the result's names are ignored. Empty table: no rows.
+    `loss_runs` is the loss mask as run lengths over the code points of `formatted`: array<struct<n, loss>>.
     """
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), s("role").alias("role"), s("text").alias("text")).alias("x"))
@@ -109,13 +114,34 @@ def format_chats(turns: DataFrame, template: Template = Template()) -> DataFrame
     return conv.withColumn("loss_runs", runs).withColumn("n_turns", F.size("recovered").cast("long")).select("conv_id", "formatted", "recovered", "loss_runs", "n_turns", "escaped", "round_trip")
 
 
+def loss_text(t: Template) -> Column:
+    """All text of `formatted` under the mask `loss_runs`, unescaped; null where the mask doesn't cover the text exactly.
+
+    The text is cut before each control string that opens a turn, so that a run is looked up in its turn and not in the whole text.
+    """
+    turns = F.slice(F.split("formatted", re.escape(t.open)), F.lit(2), F.greatest(F.size(F.split("formatted", re.escape(t.open))) - 1, F.lit(0)))
+
+    def under(x: Column, i: Column) -> Column:
+        whole, at, parts = F.concat(F.lit(t.open), x), F.lit(0).cast("long"), []
+        for k in range(RUNS):
+            run = F.get("loss_runs", i * RUNS + k)
+            piece = F.substring(whole, (at + 1).cast("int"), run["n"].cast("int"))
+            parts.append(F.when(run["loss"], unescaped(piece, t)).otherwise(""))
+            at = at + run["n"]
+        return F.when(at == F.length(whole), F.concat(*parts))
+
+    read = F.transform(turns, under)
+    exact = (F.size("loss_runs") == RUNS * F.size(turns)) & F.forall(read, lambda x: x.isNotNull())
+    return F.when(exact, F.array_join(read, ""))
+
+
 def digests(formatted: DataFrame, template: Template = Template()) -> DataFrame:
-    """The contract's columns, from the turns read back."""
+    """The contract's columns: turns as they are read back, and the text under the loss mask of `formatted`."""
     told = F.array_join(F.transform("recovered", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("recovered", lambda x: x["role"].isin(*template.loss_roles)), lambda x: x["text"]), "")
     hexed = lambda c: F.sha2(c.cast("binary"), 256)
-    return formatted.select(
-        "conv_id", "n_turns", hexed(told).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), hexed(loss).alias("loss_sha256"),
+    rows = formatted.withColumn("_loss", loss_text(template))
+    return rows.select(
+        "conv_id", "n_turns", hexed(told).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), hexed(F.col("_loss")).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
