@@ -19,7 +19,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     some = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound) for y in (0, 1)]
     ids = F.broadcast(some[0].unionByName(some[1]))
     found = docs.select("doc_id", "text").join(ids, "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-    return found.dropDuplicates(["text", "y"]).select("doc_id", "text", F.col("y").cast("int").alias("y"))
+    return found.groupBy("text", "y").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", F.col("y").cast("int").alias("y"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 50) -> np.ndarray:

@@ -17,7 +17,8 @@ from . import _text as X
 from ._spark import crc_mod, cut, table
 from ._train import labelled_sample, logistic, sigmoid
 
-#: Labelled documents of each class that the model is fitted on, and the lines of one that a chain holds while fitting.
+#: Labelled documents of each class that the model is fitted on, and lines of one that it is fitted on at most: a chain of
+#: consecutive lines that begins anywhere in the document, by a hash of its id. Scores always read all lines.
 PER_CLASS, CHAIN = 3000, 200
 ROUNDS, RATE, L2 = 200, 0.1, 1e-3
 _NEWLINE = np.zeros(256, bool)
@@ -163,8 +164,17 @@ def fit(f: np.ndarray, to: np.ndarray, y: np.ndarray) -> Model:
     return m
 
 
+def chain_start(doc_id: int, lines: int) -> int:
+    """The first line of the chain that a document of so many lines is learned from."""
+    spare = max(lines - CHAIN, 0)
+    return int(X.mix(np.array([doc_id], np.int64).view(np.uint64))[0] % np.uint64(spare + 1))
+
+
 def train(sample: DataFrame) -> Model:
-    """Fits on a bounded sample(doc_id, text, y); features are found on the executors, the fit runs on them alone."""
+    """Fits on a bounded sample(doc_id, text, y) of at most CHAIN lines of each document.
+
+    Features are found on the executors; these and nothing else of the texts come to the driver, which fits the field.
+    """
     kind = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("n", pa.int32()), ("f", pa.binary())])
 
     def go(batches):
@@ -172,14 +182,14 @@ def train(sample: DataFrame) -> Model:
             f, _, to = line_features(b.column("text"))
             f, rows = f.astype(np.float32), []
             for i, (d, y) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist())):
-                for lo in range(int(to[i]), int(to[i + 1]), CHAIN):
-                    part = f[lo : min(lo + CHAIN, int(to[i + 1]))]
-                    rows.append((d, y, len(part), part.tobytes()))
-                    break  # one chain of each document, so that long documents don't outweigh the bound
+                n = int(to[i + 1] - to[i])
+                lo = int(to[i]) + chain_start(d, n)
+                part = f[lo : lo + min(n, CHAIN)]
+                rows.append((d, y, len(part), part.tobytes()))
             yield pa.RecordBatch.from_pydict({k: [r[j] for r in rows] for j, k in enumerate(kind.names)}, schema=kind)
 
     sample = cut(sample, "quality-sample")
-    got = sample.mapInArrow(go, "doc_id long, y int, n int, f binary").orderBy("doc_id").toPandas()
+    got = sample.mapInArrow(go, "doc_id long, y int, n int, f binary").orderBy("doc_id", "y").toPandas()
     if not len(got):
         return Model(np.zeros(FEATURES), np.ones(FEATURES))
     f = np.frombuffer(b"".join(got.f), np.float32).reshape(-1, FEATURES).astype(np.float64)
@@ -203,6 +213,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every row of docs(doc_id, text).
 
     Blank lines don't count. Null, empty or blank text has no good line and the lowest score. Without labelled rows every score is 0.5.
+    Long texts are scored whole; repeated rows and equal texts score alike, and there are no ties to settle. Null doc_id is scored
+    as any. An empty table gives an empty result. Columns but doc_id and text are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

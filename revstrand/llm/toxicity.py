@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._spark import crc_mod, cut, table
+from ._spark import crc_mod, cut, drop, table
 from ._train import labelled_sample, logistic, sigmoid
 
 BITS = 20
@@ -128,31 +128,43 @@ def train(sample: DataFrame) -> Model:
         m = shared.value
         for b in X.pieces(batches):
             g, to = _tokens(b.column("text"))
-            y, rows = b.column("y").to_pylist(), []
-            for i, own in enumerate(y):
-                x = m.steps(g[to[i] : to[i + 1]], own)
-                top = max((s for _, _, s in maximal_segments(x)), default=0.0)
-                rows.append((own, len(x), top, np.histogram(np.clip(x, -12, 12), edges)[0].tolist() if not own else [], [s for _, _, s in maximal_segments(x)]))
-            yield pa.RecordBatch.from_pydict({k: [r[j] for r in rows] for j, k in enumerate(["y", "n", "top", "h", "s"])}, schema=pa.schema([("y", pa.int32()), ("n", pa.int64()), ("top", pa.float64()), ("h", pa.list_(pa.int64())), ("s", pa.list_(pa.float64()))]))
-
-    walked = cut(sample.mapInArrow(walk, "y int, n long, top double, h array<long>, s array<double>"), "toxic-walk")
-    clean = walked.where("y = 0")
+            rows = []
+            for i, own in enumerate(b.column("y").to_pylist()):
+                if not own:  # chance is what clean documents reach
+                    x = m.steps(g[to[i] : to[i + 1]], own)
+                    rows.append((len(x), max((s for _, _, s in maximal_segments(x)), default=0.0), np.histogram(np.clip(x, -12, 12), edges)[0].tolist()))
+            yield pa.RecordBatch.from_pydict({k: [r[j] for r in rows] for j, k in enumerate(["n", "top", "h"])}, schema=pa.schema([("n", pa.int64()), ("top", pa.float64()), ("h", pa.list_(pa.int64()))]))
+
+    clean = cut(sample.mapInArrow(walk, "n long, top double, h array<long>"), "toxic-walk")
     hist = np.zeros(480)
     for r in clean.select(F.posexplode("h").alias("i", "c")).groupBy("i").agg(F.sum("c").alias("c")).collect():
         hist[r["i"]] = r["c"]
     tops = clean.select("top", "n").toPandas()
     m.fit_chance(hist, (edges[1:] + edges[:-1]) / 2, tops.top.to_numpy(), tops.n.to_numpy())
-    rows = walked.select("y", "n", F.filter("s", lambda v: v * m.rate > 0).alias("s")).collect()
-    found = [[(0, 0, s, m.rate * s - m.log_k - np.log(max(r["n"], 1))) for s in r["s"]] for r in rows]
-    x = np.array([m.evidence([p for p in f if p[3] > -np.log(SIGNIFICANT)]) for f in found]).reshape(-1, 2)
-    m.w = logistic(x, np.array([r["y"] for r in rows], float), l2=0.01)
+    shared.destroy()
+    fitted = spark.sparkContext.broadcast(m)
+
+    def weigh(batches):
+        m = fitted.value
+        for b in X.pieces(batches):
+            g, to = _tokens(b.column("text"))
+            y = b.column("y").to_pylist()
+            e = np.array([m.evidence(m.passages(m.steps(g[to[i] : to[i + 1]], own))) for i, own in enumerate(y)]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(y, pa.int32()), pa.array(e[:, 0]), pa.array(e[:, 1])], names=["doc_id", "y", "all", "most"])
+
+    rows = sample.mapInArrow(weigh, "doc_id long, y int, all double, most double").toPandas().sort_values(["doc_id", "y"])
+    m.w = logistic(rows[["all", "most"]].to_numpy(float).reshape(-1, 2), rows.y.to_numpy(float), l2=0.01)
+    fitted.destroy()
+    drop(sample, clean)
     return m
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, passages (array of token start, end, segment score and excess) of every row of docs(doc_id, text).
 
-    Null or empty text has no passage and the lowest score. Without labelled rows every score is 0.5.
+    Null or empty text has no passage and the lowest score. Without labelled rows every score is 0.5. Long texts are scored whole;
+    repeated rows and equal texts score alike, and there are no ties to settle. Null doc_id is scored as any. An empty table gives
+    an empty result. Columns but doc_id and text are ignored.
     """
     light = copy.copy(model)
     light.y1 = light.y0 = None  # scoring needs the score table alone
