@@ -10,6 +10,7 @@ scanned in many tasks.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 
 import numpy as np
@@ -33,6 +34,7 @@ SUPER = 1024
 def _filesystem(path: str):
     from pyarrow import fs
 
+    path = re.sub("^s3[an]://", "s3://", path)  # Hadoop's names of the same store
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -138,7 +140,8 @@ def stitched(blocks: DataFrame) -> DataFrame:
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens of every row of docs(doc_id, text): written as flat token files, scanned and stitched.
 
-    Null or empty text: 0. Repeated rows stay rows. Null doc_id: counted under null. An empty table gives an empty result.
+    Null or empty text: 0. Repeated rows stay rows; there are no ties to settle. Long texts are tokenised whole. Null doc_id:
+    counted under null. Columns but doc_id and text are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
@@ -148,7 +151,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, block: int = BLO
     sizes = {s.getPath().getName(): s.getLen() for s in store.listStatus(p)} if store.exists(p) else {}
     names = [r["file"] for r in order.select("file").distinct().collect()]  # one per task that wrote
     files = spark.createDataFrame([(x, sizes[x]) for x in names], "file string, n_bytes long")
-    return order.join(stitched(scan_blocks(spark, path, files, EOD, 2, block)), ["file", "ordinal"], "left").select("doc_id", "n_tokens")
+    found = order.join(stitched(scan_blocks(spark, path, files, EOD, 2, block)), ["file", "ordinal"], "left")
+    return found.select("doc_id", F.coalesce("n_tokens", F.raise_error(F.lit("a document of a token file was not found by the scan")).cast("long")).alias("n_tokens"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
