@@ -1,7 +1,8 @@
 """Corpus pipeline: five stages, each on the table that its predecessor wrote.
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of `documents`; the last one adds how often a document is
-taken. Rows without doc_id can't be told apart and pass the two stages that compare documents.
+taken. Rows without doc_id can't be told apart and pass the two stages that compare documents. Null, empty and letterless texts
+go in the first stage; ties and repeats are as the operators state; other columns of docs are left behind; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from revstrand.llm import decontaminate, language, mixing, near_dup, substring_dedup
-from revstrand.llm._spark import cut, table
+from revstrand.llm._spark import cut, drop, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if more than this share of it is explained by no learned language.
@@ -25,9 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each class of near duplicates."""
+    """Keeps the first document of each class of near duplicates, and of its repeated rows one; a doc_id's other texts stay."""
     first = near_dup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
+    one = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
     kept = docs.select(COLUMNS).join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(COLUMNS)
     return kept.unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
 
@@ -61,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop(before)
+        docs = before = done
     return docs
