@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where none is named, a local session gets a temporary folder, since its driver and executors are one machine; a cluster is refused.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
-        base = "file://" + tempfile.mkdtemp(prefix="revstrand-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+from ..storage import shared_dir
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:

@@ -121,6 +121,7 @@ def _worthless(share, total, cost):
     s = np.minimum(np.cumsum(np.take_along_axis(share.astype(np.float64), order, axis=1), axis=1), 1 - 1e-12)
     gone = np.zeros(share.shape, bool)
     np.put_along_axis(gone, order, -total[:, None] * np.log1p(-s) / ORDER <= cost[:, None], axis=1)
+    gone[np.arange(len(gone)), share[:, :-1].argmax(axis=1)] = False  # the background alone is no answer
     return gone
 
 

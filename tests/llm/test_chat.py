@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from revstrand.llm import chat as C
 
 T = C.Template()
@@ -52,6 +53,15 @@ def test_any_content_survives(spark, texts):
     assert r["round_trip"] and [x["text"] for x in r["recovered"]] == texts
 
 
+def test_loss_is_read_through_the_mask(spark):
+    f = C.format_chats(spark.createDataFrame([(1, 0, "user", "abc"), (1, 1, "assistant", "de"), (1, 2, "assistant", "")], SCHEMA))
+    flip = f.withColumn("loss_runs", F.transform("loss_runs", lambda x: F.struct(x["n"].alias("n"), (~x["loss"]).alias("loss"))))
+    short = f.withColumn("loss_runs", F.transform("loss_runs", lambda x: F.struct((x["n"] + 1).alias("n"), x["loss"].alias("loss"))))
+    got = [x.select(C.loss_text(T)).first()[0] for x in (f, flip, short)]
+    assert got[0] == "de" and "abc" in got[1] and "de" not in got[1] and got[2] is None
+    assert f.select(C.loss_text(C.Template(loss_roles=("user",)))).first()[0] == "de"  # the mask decides, not the role
+
+
 def test_parser_rejects_other_text(spark):
     one = spark.createDataFrame([("<|im_start|>user<|im_sep|>hi<|im_end|>",), ("x",), ("<|im_start|>user<|im_sep|>a <s> b<|im_end|>\n",), ("",)], "t string")
     assert [r[0] for r in one.select(C.parsed(one["t"], T)).collect()] == [None, None, None, []]
