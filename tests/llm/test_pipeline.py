@@ -8,10 +8,13 @@ def test_stages_on_hostile_rows(spark, docs, tmp_path):
     bench = spark.createDataFrame([(1, "one benchmark passage that nobody else would ever write down in this order")], "item_id long, text string")
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     leak = spark.createDataFrame([(500, "so ONE benchmark passage, that nobody else would ever write down in this order ok", "xx", "a", 1, "e", 1)], DOCS + ", rank string, bin int")
-    docs.unionByName(leak).write.parquet(f"{tmp_path}/documents.parquet")
+    several = spark.createDataFrame([(None, "nobody knows this one here", "xx", "a", 1, "e", 1), (None, "nobody knows this one here", "xx", "a", 1, "e", 1)] + [(501, f"text of {x} which shares its number with another one", "xx", "b", 1, "e", 1) for x in ("apples", "pears", "pears")], DOCS + ", rank string, bin int")
+    docs.unionByName(leak).unionByName(several).write.parquet(f"{tmp_path}/documents.parquet")
     rows, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for name, stage in C.STAGES:
         rows = C.cut(stage(spark, rows, str(tmp_path)), f"t-{name}")
+        if name != "mixing":
+            assert rows.where("doc_id IS NULL").count() == 2 and rows.where("doc_id = 501").count() == (3 if name == "language_id" else 2), name
         seen.append({r["doc_id"] for r in rows.select("doc_id").collect()})
         assert rows.columns[:5] == C.COLUMNS or name == "mixing"
     assert {75, 76, 77, 82} & seen[0] == set() and 500 in seen[0]

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from revstrand.llm import substring_dedup as S
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,3 +64,8 @@ def test_columns_pass_and_untouched_texts_stay(spark, corpus, docs):
         g = got[r[0]]
         assert (g["lang"], g["source"], g["bin"]) == (r[2], r[3], r[6])
         assert g["text"] == (g["kept"] if g["n_removed"] else r[1])
+
+
+def test_names_of_the_result_are_not_kept(spark, docs):
+    with pytest.raises(ValueError):
+        S.dedup(docs.withColumn("kept", docs.bin), keep=("kept",))
