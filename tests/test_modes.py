@@ -1,5 +1,7 @@
 import gzip
+import math
 import random
+import re
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -77,6 +79,61 @@ def test_assembly_mode_finds_planted_repeats(spark):
     assert calls.columns == list(sinks.IR) and I.call_irs(contigs.where("contig = 'neg'"), cfg).count() == 0
 
 
+def plain_calls(name, seq, cfg):
+    """The whole scan of one contig in loops: windows, hits, arms, cap, both de-duplications, arm identity of the contig's own bases."""
+    seq, found = seq.upper(), []
+    for m in re.finditer("[ACGT]+", seq):
+        n = m.end() - m.start()
+        if n < 2 * cfg.min_arm:
+            continue
+        size, at = min(cfg.window_len, n) if cfg.window_len > 0 else n, m.start()
+        while True:
+            end = min(at + size, m.end())
+            for h in I.window_hits(seq[at:end], cfg):
+                found.append(h | {k: h[k] + at for k in ("break_pos", "la0", "la1", "ra0", "ra1")} | {"win_start": at, "win_end": end})
+            if at + size >= m.end():
+                break
+            at += cfg.step
+    for h in found:
+        left, right = sorted([(h["la0"], h["la1"]), (h["ra0"], h["ra1"])], key=lambda x: x[0]) if h["la0"] > h["ra0"] else [(h["la0"], h["la1"]), (h["ra0"], h["ra1"])]
+        h["arm_len"] = min(max(left[1] - left[0], 0), max(right[1] - right[0], 0))
+        h["spacer"], h["start"] = right[0] - left[1], left[0]
+        h["end"] = max(min(right[0] + h["arm_len"], len(seq)), left[0])
+        h["grp"] = 1
+        if h["end"] - h["start"] > cfg.max_interval:
+            h["grp"], h["start"] = 0, max(h["break_pos"] - cfg.max_interval // 2, 0)
+            h["end"] = min(h["start"] + cfg.max_interval, len(seq))
+        h["score"] = min(max(math.floor(h["identity_est"] * 1000 + 0.5), 0), 1000)
+    found.sort(key=lambda h: (-h["grp"], -h["score"], -h["matches"], h["break_pos"], h["win_start"], h["bin"]))
+    cells, taken, out = set(), [], []
+    for h in found:
+        cell = (h["break_pos"] // cfg.dedup, 2 * h["break_pos"] // cfg.diag_tol)
+        if cell in cells:
+            continue
+        cells.add(cell)
+        a, z = h["start"] // cfg.dedup * cfg.dedup, h["end"] // cfg.dedup * cfg.dedup
+        if any(a < y and x < z for x, y in taken):
+            continue
+        taken.append((a, z))
+        ident = K.arm_identity(K.as_array(seq[h["la0"] : h["la1"]]), K.as_array(seq[h["ra0"] : h["ra1"]]), cfg.proxy_gate)
+        out.append((name, h["start"], h["end"], h["score"], h["break_pos"], h["matches"], h["la0"], h["la1"], h["ra0"], h["ra1"], h["win_start"], h["bin"], h["arm_len"], h["spacer"], ident and round(ident, 3)))
+    return out
+
+
+def test_calls_against_loops(spark, monkeypatch):
+    monkeypatch.setattr(I, "CHUNK", 700)  # arms over many chunks
+    cfg = AssemblyConfig(min_matches=8, min_arm=150, window_len=1500, step=400, refine=Refine(window=80), dedup=60, max_interval=1800)
+    rows = []
+    for i in range(6):
+        a, b = dna(500 + 90 * i, 900 + i), dna(300, 920 + i)
+        rows.append((f"c{i}", dna(400, i) + a + dna(40 * i, 930 + i) + rc(a) + ("N" * 3 if i % 2 else "") + dna(700, 940 + i).lower() + b + rc(b) + b + dna(300, 950 + i)))
+    rows += [("none", dna(3000, 960)), ("short", "ACGT" * 9)]
+    want = sorted(x for n, s in rows for x in plain_calls(n, s, cfg))
+    got = I.call_irs(spark.createDataFrame(rows, "contig string, seq string").repartition(3), cfg)
+    got = sorted(map(tuple, got.select("contig", "start", "end", "score", "break_pos", "matches", "la0", "la1", "ra0", "ra1", "win_start", "bin", "arm_len", "spacer", "tir_ident").collect()))
+    assert len(want) >= 8 and got == want
+
+
 def test_windows_cover_spans_and_stop(spark):
     rows = spark.createDataFrame([("a", "A" * 1000 + "N" + "C" * 450 + "NN" + "G" * 100)], "contig string, seq string")
     cfg = AssemblyConfig(min_arm=100, window_len=400, step=150)
