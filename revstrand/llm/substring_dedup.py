@@ -273,14 +273,12 @@ class FingerprintIndex:
 
 
 def _ids(hits: DataFrame) -> DataFrame:
-    """doc_id of every document of packed rows."""
+    """doc_id of every document of packed rows, once. A document's rows, one per bucket, meet in its group."""
 
-    def go(batches):
-        for b in batches:
-            for x in b.column("docs").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64))], names=["doc_id"])
+    def go(t: pa.Table) -> pa.Table:
+        return pa.table({"doc_id": np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in t.column("docs").to_pylist()]))})
 
-    return hits.select("docs").mapInArrow(go, "doc_id long")
+    return hits.select("grp", "docs").groupBy("grp").applyInArrow(go, "doc_id long")
 
 
 def _packed_texts(docs: DataFrame, groups: int, bits, keep: tuple[str, ...] = ()) -> DataFrame:
