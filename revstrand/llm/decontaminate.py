@@ -177,12 +177,16 @@ def _bands(flat: np.ndarray, off: np.ndarray, p: Patterns) -> np.ndarray:
         cell, at, row, band = np.concatenate([cell, cell]), np.concatenate([at, at]), np.concatenate([row, row]), np.concatenate([band, band - 1])
         on = _often(X.mix(cell.view(np.uint64)).view(np.int64) + band, p.row_bound[row])
         at, row, band, own = at[on], row[on], band[on], np.concatenate([own, own])[on]
+        if not len(own):
+            continue
         # the patterns that hold the q-gram
         key = row * (len(p.body) + 1) + at
         size = p.size[np.searchsorted(p.row, row)]
         a, z = np.searchsorted(pat_key, key - (size - Q), "left"), np.searchsorted(pat_key, key, "right")
         m = z - a
         pat = np.arange(m.sum()) - np.repeat(np.concatenate([[0], np.cumsum(m)[:-1]]) - a, m)
+        if not len(pat):
+            continue
         part_of, band = part[own], band - begins[part[own]] // p.band
         first, low, wide = int(part_of.min()), int(band.min()), np.int64(band.max() - band.min() + 1)
         key = (np.repeat(part_of - first, m) * len(p.size) + pat) * wide + np.repeat(band - low, m)

@@ -87,6 +87,18 @@ def test_short_items_and_items_of_equal_text():
     assert [[i for i, _, _ in g] for g in D.matches(pa.array(texts), p)] == [[1, 2], [], [3], [4, 5]]
 
 
+def test_shared_words_in_another_order_are_no_leak():
+    """Many shared q-grams, but on no common diagonals: whatever count ends the search, there is nothing to verify."""
+    r = random.Random(3)
+    for n in (0, 1, 4):
+        words = ["".join(r.choice("abcdefgh") for _ in range(10)) for _ in range(20)]
+        p = D.patterns([(1, " ".join(words))])
+        mixed = words[::-1]
+        text = " ".join(x + " " + "".join(r.choice("stuvwxyz") for _ in range(n)) for x in mixed)
+        got = {i for i, _, _ in D.matches(pa.array([text]), p)[0]}
+        assert got == brute(text, [(1, " ".join(words))], D.WINDOW, D.EDIT_RATE)
+
+
 def test_long_texts_are_searched_whole():
     r = random.Random(9)
     say = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(n))
