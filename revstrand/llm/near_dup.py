@@ -13,11 +13,13 @@ Documents of the same words are one node from the start. Nodes that share a band
 1. Bands of up to FEW nodes: all their pairs.
 2. Larger ones: every node with two leaders, the node that has most company over all its bands and the first one.
 3. Nodes of larger bands that still hold different classes: pairs that share a rare shingle, which are few by its rarity, unless
-   their counts rule the similarity out. And, where nothing rules it out, bands are split: nodes that share a band and one of the
-   NEAR bands after it are compared as in 1 and 2. A group that is all near has leaders for all; one that isn't falls apart.
+   their counts rule the similarity out.
+4. Where nothing rules it out, all other pairs of different classes of a band, in blocks of bounded size, by counts of shared
+   shingles. A class is never compared with itself.
 
-So no group is ever paired with itself, and what is compared grows with the nodes. Of pairs at a similarity of exactly 0.8, 0.04 %
-share no band; of those that besides no leader and no rare shingle links, 3 % share no such two bands (0.2 % at 0.85).
+So no pair that shares a band is missed, however many nodes the band has. What is compared grows with the nodes, but for bands of
+many nodes in different classes with few rare shingles, where it grows with their square. Of pairs at a similarity of exactly 0.8,
+0.04 % share no band.
 
 A pair is compared where its leader is: members' compressed texts go there, at most CROWD to a group, and a leader with more of
 them is in several groups. The comparison is exact; classes are the connected components of the pairs that pass.
@@ -41,10 +43,10 @@ SIMILARITY = 0.8
 ROWS, BANDS = 5, 20
 #: Bands of up to so many nodes are compared pair by pair.
 FEW = 6
-#: Bands after an open one that it is split by.
-NEAR = 3
 #: Members that one group compares with their leader.
 CROWD = 256
+#: Texts and elements, about, of a block whose members are compared with those of another, and shingles counted at once.
+BLOCK, ELEMENTS, COLUMNS = 1024, 1 << 18, 4096
 #: A shingle is rare among the documents still to be compared if at most this many have it.
 RARE = 16
 _U = np.uint64
@@ -285,15 +287,6 @@ def _compared(member: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
     return _small_bands(member.where(F.col("c") <= FEW)).unionByName(_led(big, lead, "hub", "low")), big
 
 
-def _split(open_: DataFrame, reps: DataFrame) -> DataFrame:
-    """rep, band (a key of two bands) for each open band of a node and each open one among the NEAR after it. open_: rep, band."""
-    own = open_.groupBy("rep").agg(F.collect_set("band").alias("own")).join(reps.select("rep", "bands"), "rep")
-    after = f"transform(sequence(1, {NEAR}), d -> bands[(i + d) % size(bands)])"
-    two = f"transform(filter({after}, x -> array_contains(own, x)), x -> xxhash64(bands[i], x))"
-    each = f"flatten(transform(filter(sequence(0, size(bands) - 1), i -> array_contains(own, bands[i])), i -> {two}))"
-    return own.select("rep", F.explode(F.expr(each)).alias("band")).distinct()
-
-
 def _still_open(member: DataFrame, links: DataFrame, keep) -> DataFrame:
     """rep, band, root of the members of bands that hold different classes."""
     root = components(links)
@@ -326,6 +319,71 @@ def _rare(named: DataFrame, texts: DataFrame, similarity: float, weighted: bool,
     return node, met.where(shared >= similarity * (F.col("both") - shared) - 1e-9).select("a", "b")
 
 
+def _joined(t: pa.Table, least: float, weighted: bool) -> pa.Table:
+    """One near pair (a, b) for each two classes that become one by near pairs of two blocks, or of one. t: rep, root, side, z."""
+    es, size, rep, root, side = [], [], [], [], []
+    for b in _loose(t.to_batches(), ("rep", "root", "side")):
+        h, s_to, _, _ = _shingles(b)
+        e, off = _elements(h, s_to, weighted)
+        es.append(e)
+        size.append(np.diff(off))
+        for got, c in ((rep, "rep"), (root, "root"), (side, "side")):
+            got.append(np.asarray(b.column(c)))
+    e, size, rep, root, side = (np.concatenate(x) for x in (es, size, rep, root, side))
+    own = np.repeat(np.arange(len(size)), size)
+    _, col, df = np.unique(e, return_inverse=True, return_counts=True)
+    on = df[col] > 1  # an element of one text is shared by none
+    own, col = own[on], (np.cumsum(df > 1) - 1)[col[on]]
+    order = np.argsort(col, kind="stable")
+    own, col = own[order], col[order]
+    one = np.flatnonzero(side == 0)
+    two = np.flatnonzero(side == 1) if (side == 1).any() else one
+    both = np.zeros((len(one), len(two)))
+    for lo in range(0, int((df > 1).sum()), COLUMNS):
+        i, j = np.searchsorted(col, [lo, lo + COLUMNS])
+        has = np.zeros((len(size), COLUMNS), np.float32)
+        has[own[i:j], col[i:j] - lo] = 1
+        both += has[one] @ has[two].T
+    near = (both > 0) & (both >= least * (size[one][:, None] + size[two] - both) - 1e-9) & (root[one][:, None] != root[two])
+    x, y = np.nonzero(near)
+    x, y = one[x], two[y]
+    up, found = {}, []
+
+    def top(r):
+        while up.get(r, r) != r:
+            r = up[r]
+        return r
+
+    for i in np.unique(np.stack([root[x], root[y]]), axis=1, return_index=True)[1] if len(x) else ():
+        r, q = top(int(root[x[i]])), top(int(root[y[i]]))
+        if r != q:
+            up[r] = q
+            found.append((int(rep[x[i]]), int(rep[y[i]])))
+    return pa.table({"a": pa.array([p for p, _ in found], pa.int64()), "b": pa.array([q for _, q in found], pa.int64())})
+
+
+def _rest(x: DataFrame, texts: DataFrame, least: float, weighted: bool) -> DataFrame:
+    """Pairs (a, b) that join all classes with a near pair in a band of x(rep, band, root, d), from all pairs of its classes.
+
+    A large class of a band has blocks of its own, small ones share blocks; blocks of one class are not compared.
+    """
+    parts = F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.sum("e") / ELEMENTS))
+    of = x.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("d").alias("e"))
+    of = of.withColumn("own", F.when((2 * F.col("n") > BLOCK) | (2 * F.col("e") > ELEMENTS), F.col("root")))
+    many = of.groupBy("band", "own").agg(parts.alias("parts"))
+    x = x.join(of.select("band", "root", "own"), ["band", "root"]).join(many.withColumnsRenamed({"band": "b2", "own": "o2"}), F.expr("band = b2 AND own <=> o2"))
+    x = x.select("rep", "band", "root", F.struct("own", F.pmod(F.xxhash64("rep"), "parts").alias("nth")).alias("block"))
+    lists = x.groupBy("band").agg(F.array_sort(F.collect_set("block")).alias("x"))
+    jobs = lists.select("band", "x", F.posexplode("x").alias("i", "p")).select("band", "p", F.explode(F.slice("x", F.col("i") + 1, F.size("x"))).alias("q"))
+    jobs = jobs.where("p.own IS NULL OR q.own IS NULL OR p.own != q.own").withColumn("job", F.xxhash64("band", "p", "q"))
+    sides = F.when(F.expr("p = q"), F.array(F.struct(F.col("p").alias("block"), F.lit(0).alias("side"))))
+    sides = sides.otherwise(F.array(*(F.struct(F.col(c).alias("block"), F.lit(i).alias("side")) for i, c in enumerate("pq"))))
+    jobs = jobs.select("band", "job", F.explode(sides).alias("y")).select("band", "job", "y.side", F.col("y.block.own").alias("o2"), F.col("y.block.nth").alias("n2"))
+    x = x.withColumnsRenamed({"band": "b2"}).join(jobs, F.expr("b2 = band AND block.own <=> o2 AND block.nth = n2")).select("job", "rep", "root", "side")
+    rows = x.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("job", "rep", "root", "side", "z")
+    return rows.groupBy("job").applyInArrow(lambda t: _joined(t, least, weighted), "a long, b long")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS, weighted: bool = False) -> DataFrame:
     """doc_id, class_id of every row of docs(doc_id, text): the smallest doc_id of the row's class of near duplicates.
 
@@ -360,9 +418,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, rows: int = ROWS, b
         can = lambda shared, one, two: shared >= similarity * (one + two - shared) - 1e-9
         named = named.join(sizes, "rep")
         low = named.groupBy("band").agg(F.min("d_low").alias("d_min"))
-        named = named.join(low, "band").where(can(F.col("common"), F.col("d_low"), F.greatest("d_min", "common"))).select("rep", "band")
-        pairs, _ = _compared(_split(named, reps), keep)
-        found.append(keep(verified(keep(pairs.unionByName(met).distinct(), "near-pairs"), texts, similarity, weighted), "near-links"))
+        named = named.join(low, "band").where(can(F.col("common"), F.col("d_low"), F.greatest("d_min", "common"))).select("rep", "band", "root", "d")
+        found.append(keep(verified(keep(met, "near-pairs"), texts, similarity, weighted), "near-links"))
+        found.append(keep(_rest(keep(named, "near-open"), texts, similarity, weighted), "near-links"))
     root = components(both())
     drop(*done)
     named = reps.select("k1", "k2", "rep").join(root.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))

@@ -120,3 +120,16 @@ def test_large_bands_lose_no_link(spark):
     want = brute(rows)
     got = {x.doc_id: x.class_id for x in N.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == want
+
+
+def test_crowded_bands_without_rare_shingles_lose_no_link(spark, monkeypatch):
+    for name, value in (("FEW", 1), ("BLOCK", 32)):  # every band counts as large
+        monkeypatch.setattr(N, name, value)
+    r, gap = random.Random(21), " - - - - "
+    say = lambda i: " ".join("p%dw%d" % (i, j) for j in range(8))
+    rows = []
+    for j in range(250):  # 30 passages that all have and 8 of 80: four of these in common make two texts near
+        rows.append((j, gap.join(map(say, [*range(30), *(30 + x for x in sorted(r.sample(range(80), 8)))]))))
+    want = brute(rows)
+    got = {x.doc_id: x.class_id for x in N.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert len(set(want.values())) > 50 and got == want
