@@ -141,6 +141,28 @@ class _Block:
         yield _pack_by(_group_of(docs[settled], self.groups), docs[settled], [k[settled] for k in keys], _PACKED, run=-2)
 
 
+def _tidy(go):
+    """A function of one group that gives the memory of its arrays back before the next group, so that workers stay small."""
+
+    def one(t: pa.Table) -> pa.Table:
+        done = go(t)
+        X.release()
+        return done
+
+    return one
+
+
+def _tidy_two(go):
+    """The same for a function of two groups that meet."""
+
+    def both(one: pa.Table, two: pa.Table) -> pa.Table:
+        done = go(one, two)
+        X.release()
+        return done
+
+    return both
+
+
 def _merge(groups: int, all_docs: bool):
     """Settles one bucket of a batch: the hits of keys that several of its documents hold, and with `all_docs` the bucket of its run."""
 
@@ -222,7 +244,7 @@ class FingerprintIndex:
                 new[1:] = best[1:] != best[:-1]
                 yield from filter(None, block.pack(ids[new], [small[best[new]]]))
 
-        rows = docs.select("doc_id", "text").mapInArrow(sketch, PACKED).groupBy("bucket").applyInArrow(_merge(groups, True), MERGED)
+        rows = docs.select("doc_id", "text").mapInArrow(sketch, PACKED).groupBy("bucket").applyInArrow(_tidy(_merge(groups, True)), MERGED)
         fresh = self._write(rows)
         parts = [self._read(fresh, 0).select(*_HITS.names), *(self._shared(fresh, old) for old in self.runs)]
         hits = cut(reduce(DataFrame.unionByName, parts), "index-hits")
@@ -245,7 +267,7 @@ class FingerprintIndex:
             b = _pack_by(_group_of(docs, groups), docs, [keys], _HITS)
             return _HITS.empty_table() if b is None else pa.Table.from_batches([b])
 
-        return self._read(fresh, 1).groupBy("bucket").cogroup(self._read(old, 1).groupBy("bucket")).applyInArrow(go, HITS)
+        return self._read(fresh, 1).groupBy("bucket").cogroup(self._read(old, 1).groupBy("bucket")).applyInArrow(_tidy_two(go), HITS)
 
     def compact(self) -> None:
         """Merges the two oldest runs into one, bucket by bucket; they go after the new one is complete."""
@@ -261,7 +283,7 @@ class FingerprintIndex:
             return pa.Table.from_batches([pa.RecordBatch.from_arrays([*fixed, *b.columns], schema=_MERGED)])
 
         a, b = self.runs[:2]
-        both = self._read(a, 1).groupBy("bucket").cogroup(self._read(b, 1).groupBy("bucket")).applyInArrow(go, MERGED)
+        both = self._read(a, 1).groupBy("bucket").cogroup(self._read(b, 1).groupBy("bucket")).applyInArrow(_tidy_two(go), MERGED)
         self.runs[:2] = [self._write(both)]
         self.compactions += 1
         for name in (a, b):
@@ -355,8 +377,8 @@ def repeats(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | N
                 out += filter(None, block.pack(ids[on], [one[on], two[on]]))
         return pa.Table.from_batches(out, schema=_PACKED)
 
-    rows = packed.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(candidates, PACKED)
-    hits = cut(rows.groupBy("bucket").applyInArrow(_merge(groups, False), MERGED).select(*_HITS.names), "digest-hits")
+    rows = packed.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(_tidy_two(candidates), PACKED)
+    hits = cut(rows.groupBy("bucket").applyInArrow(_tidy(_merge(groups, False)), MERGED).select(*_HITS.names), "digest-hits")
     drop(*found)
     return hits, groups
 
@@ -414,7 +436,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, keep: tuple[str, ...] = ()) -
         return pa.Table.from_arrays([*cols, *(texts.column(c) for c in keep)], names=names)
 
     bits = sieve(_ids(hits))
-    done = _packed_texts(known, groups, bits, keep).groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(settled, schema)
+    done = _packed_texts(known, groups, bits, keep).groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(_tidy_two(settled), schema)
 
     def whole(batches):
         for batch in batches:

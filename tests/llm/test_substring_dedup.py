@@ -69,3 +69,9 @@ def test_columns_pass_and_untouched_texts_stay(spark, corpus, docs):
 def test_names_of_the_result_are_not_kept(spark, docs):
     with pytest.raises(ValueError):
         S.dedup(docs.withColumn("kept", docs.bin), keep=("kept",))
+
+
+def test_groups_give_their_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(S.X, "release", lambda: calls.append(1))
+    assert S._tidy(lambda t: t + 1)(1) == 2 and S._tidy_two(lambda a, b: a + b)(1, 2) == 3 and len(calls) == 2
