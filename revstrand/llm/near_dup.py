@@ -180,16 +180,16 @@ def _loose(batches, keep: tuple[str, ...]):
 
 
 def _sets(texts: DataFrame, weighted: bool) -> DataFrame:
-    """rep, t (a hash of the set) and each element s of the set of every row of texts(doc_id, z)."""
+    """rep, t (a hash that tells rows apart, also those of equal sets) and each element s of the set of every row of texts(doc_id, z)."""
 
     def go(batches):
-        for b in _loose(batches, ("doc_id",)):
+        for b in _loose(batches, ("doc_id", "t")):
             h, s_to, _, _ = _shingles(b)
             e, off = _elements(h, s_to, weighted)
-            own, sums = X.owners(off), np.concatenate([[_U(0)], np.cumsum(X.mix(e ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(b.column("doc_id"))[own]), pa.array((sums[off[1:]] - sums[off[:-1]]).view(np.int64)[own]), pa.array(e.view(np.int64))], names=["rep", "t", "s"])
+            own = X.owners(off)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.asarray(b.column(c))[own]) for c in ("doc_id", "t")), pa.array(e.view(np.int64))], names=["rep", "t", "s"])
 
-    return texts.mapInArrow(go, "rep long, t long, s long")
+    return texts.select("doc_id", "z", F.xxhash64("doc_id", "z").alias("t")).mapInArrow(go, "rep long, t long, s long")
 
 
 def _small_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:

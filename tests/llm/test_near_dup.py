@@ -133,3 +133,27 @@ def test_crowded_bands_without_rare_shingles_lose_no_link(spark, monkeypatch):
     want = brute(rows)
     got = {x.doc_id: x.class_id for x in N.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert len(set(want.values())) > 50 and got == want
+
+
+def test_equal_shingles_in_another_order_stay_linked_in_a_crowded_band(spark):
+    r, gap, rows = random.Random(31), " - - - - ", []
+    say = lambda i: " ".join("p%dw%d" % (i, j) for j in range(8))
+    for g in range(25):  # 30 passages that all have and 5 of its own, and the same passages in another order
+        middle = [*range(1, 29), *(100 + g * 5 + x for x in range(5))]
+        for j in range(2):
+            rows.append((g * 2 + j, gap.join(map(say, [0, *middle, 29]))))
+            r.shuffle(middle)
+    want = brute(rows)
+    got = {x.doc_id: x.class_id for x in N.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows=1, bands=1).collect()}
+    assert len(set(want.values())) == 25 and got == want
+
+
+def test_sizes_of_a_doc_id_whose_texts_have_one_set(spark):
+    import zstandard
+
+    line = " ".join("w%d" % i for i in range(40))
+    texts = [(1, line), (1, line.replace(" ", "  ")), (2, line), (2, line + " " + " ".join("x%d" % i for i in range(20)))]
+    z = [(i, bytearray(zstandard.ZstdCompressor(level=1).compress(t.encode()))) for i, t in texts]
+    named = spark.createDataFrame([(1, 5, 1), (2, 5, 2)], "rep long, band long, root long")
+    node, met = N._rare(named, spark.createDataFrame(z, "doc_id long, z binary"), 0.8, False, lambda rows, tag: rows)
+    assert sorted(map(tuple, node.collect())) == [(1, 36, 36, 0), (2, 56, 36, 0)] and [tuple(x) for x in met.collect()] == [(1, 2)]
