@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, near_dup, quality, search, sql, substring_dedup, token_counts, toxicity
+from . import chat, codes, decontaminate, language, mixing, near_dup, quality, search, sql, substring_dedup, token_counts, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_pareto_mix": mixing.op8_pareto_mix,
         "op9_line_crf_quality": quality.op9_line_crf_quality,
         "op10_near_dup": near_dup.op10_near_dup,
+        "op11_vector_codes": codes.op11_vector_codes,
+        "op12_warc_archive": warc.op12_warc_archive,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.ORACLE, "op5_substring_dedup": sql.SUBSTRING, "op8_pareto_mix": sql.MIX}
+    return {"op2_chat_format": chat.ORACLE, "op5_substring_dedup": sql.SUBSTRING, "op8_pareto_mix": sql.MIX, "op11_vector_codes": codes.oracle(), "op12_warc_archive": warc.ORACLE}
