@@ -69,12 +69,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     from .operators import irmode, readmode
     from .sources import readers, sinks
+    from .sources.contigs import read_pieces
     from .storage import written
 
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("revstrand").getOrCreate()
-    rows = readers.read_sequences(spark, a.input, a.partitions)
     if a.command == "correct":
+        rows = readers.read_sequences(spark, a.input, a.partitions)
         fixed, report = readmode.correct(rows, read_settings(a))
         sinks.write_corrected_fasta(fixed, a.output)
         if a.report:
@@ -82,7 +83,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         return 0
     from .functions.seq import first_token
 
-    contigs = rows.select(first_token("read_id").alias("contig"), "seq")
+    if readers.is_fastq(spark, a.input):
+        contigs = readers.read_fastq(spark, a.input, a.partitions).select(first_token("read_id").alias("contig"), "seq")
+    else:  # a contig is never one row; its pieces are written once and read for windows, hits and arms
+        contigs = written(read_pieces(spark, a.input).withColumn("contig", first_token("contig")), "pieces")
     calls = written(irmode.call_irs(contigs, assembly_settings(a)), "calls")
     if a.tsv:
         sinks.write_ir_tsv(calls, a.tsv, a.classify)

@@ -31,6 +31,8 @@ def _kind(d: Column) -> Column:
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """read_id, seq by doc_id % 6: clean foldback, gapped one, random, shared palindrome, every 20th base changed, short or with N."""
     ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    # ids are dealt out before they become sequences: a file of few bytes is one task, and what follows is much work per byte
+    ids = ids.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     d, kind = F.col("doc_id"), _kind(F.col("doc_id"))
     name = d.cast("string")
     own = dna(F.concat(F.lit("a"), name), ARM)

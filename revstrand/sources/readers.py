@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import io
+import itertools
+import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import seq as S
+from .ranges import RANGE, Range, planned
 
 
 #: Columns that put records in the order of their files: file, block of the file, and a number that rises inside a block.
@@ -39,65 +42,125 @@ def _open(path: str):
 
 
 def _records(lines):
-    """(header, sequence) of FASTQ lines, four by four; qualities may begin with @ and are dropped."""
+    """(offset, header, sequence) of (offset, line) of a FASTQ, four by four; qualities may begin with @ and are dropped."""
     it = iter(lines)
-    for head in it:
-        head = head.rstrip("\r\n")
+    for at, head in it:
+        head = head.rstrip(b"\r\n")
         if not head:
             continue
-        if not head.startswith("@"):
+        if not head.startswith(b"@"):
             raise ValueError(f"not a FASTQ header: {head[:50]!r}")
-        seq, plus, qual = (next(it, "").rstrip("\r\n") for _ in range(3))
-        if not plus.startswith("+") or len(qual) != len(seq):
+        seq, plus, qual = (next(it, (0, b""))[1].rstrip(b"\r\n") for _ in range(3))
+        if not plus.startswith(b"+") or len(qual) != len(seq):
             raise ValueError(f"broken FASTQ record: {head[:50]!r}")
-        yield head[1:], seq
+        yield at, head[1:].decode("utf-8", "replace"), seq.decode("utf-8", "replace")
 
 
-def list_files(spark: SparkSession, path: str) -> list[str]:
+def records_of(r: Range):
+    """(header, sequence) of the FASTQ records whose header begins in a range, whole.
+
+    In the middle of a file the first line that begins with @ and has a + two lines on is a header: where @ begins a quality, the line
+    two on is a sequence, which never begins with +.
+    """
+    lines = r.lines()
+    ahead: list[tuple[int, bytes]] = []
+    before = r.before()
+    if before:
+        if before != b"\n":
+            next(lines, None)  # the rest of a line of the range before
+        for line in lines:
+            ahead.append(line)
+            if len(ahead) == 3:
+                if ahead[0][1].startswith(b"@") and ahead[2][1].startswith(b"+"):
+                    break
+                if ahead.pop(0)[0] >= r.pulled:  # past the range
+                    return
+        else:
+            if not (len(ahead) == 3 and ahead[0][1].startswith(b"@")):
+                return
+    for at, head, seq in _records(itertools.chain(ahead, lines)):
+        if at >= r.pulled:
+            return
+        yield head, seq
+
+
+class FastqSource(DataSource):
+    """FASTQ files in byte ranges, a task each. Option `plan`: the ranges, as JSON."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "revstrand_fastq"
+
+    def schema(self) -> str:
+        return "read_id string, seq string, file string, block long, at long"
+
+    def reader(self, schema) -> DataSourceReader:
+        return FastqReader(json.loads(self.options["plan"]), int(self.options["batch"]))
+
+
+class FastqReader(DataSourceReader):
+    def __init__(self, plan: list, batch: int):
+        self.plan, self.batch = plan, batch
+
+    def partitions(self):
+        return [InputPartition(tuple(x)) for x in self.plan]
+
+    def read(self, partition):
+        path, begin, end, kind = partition.value
+        names = ("read_id", "seq", *PLACE)
+        with Range(path, begin, end, kind) as r:
+            rows, held = [], 0
+            for n, (h, s) in enumerate(records_of(r)):
+                rows.append((h, s, path, begin, n))
+                held += len(s)
+                if len(rows) == self.batch or held >= 8 << 20:
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))))
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))))
+
+
+def list_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Path and bytes of the files that a path, folder or pattern names."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
     out = []
     for f in found:
         inner = f.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(f.getPath()) if f.isDirectory() else [f]
-        out += [x.getPath().toString() for x in inner if x.isFile() and x.getPath().getName()[0] not in "._"]
+        out += [(x.getPath().toString(), x.getLen()) for x in inner if x.isFile() and x.getPath().getName()[0] not in "._"]
     return sorted(out)
 
 
-def read_fastq(spark: SparkSession, path: str, partitions: int | None = None, batch: int = 256, place: bool = False) -> DataFrame:
-    """read_id, seq, len of FASTQ files, plain or gzip, with `place` PLACE too: a task per file streams it record by record."""
-    files = list_files(spark, path)
-    if not files:
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    return [f for f, _ in list_sizes(spark, path)]
+
+
+def read_fastq(spark: SparkSession, path: str, partitions: int | None = None, batch: int = 256, place: bool = False, size: int = RANGE) -> DataFrame:
+    """read_id, seq, len of FASTQ files, with `place` PLACE too.
+
+    Plain files and BGZF files are read in ranges of `size` bytes, each by its own task; another gzip file is streamed by one.
+    """
+    plan = planned(list_sizes(spark, path), size)
+    if not plan:
         return spark.createDataFrame([], "read_id string, seq string, len long" + (", file string, block long, at long" if place else ""))
-    names = spark.createDataFrame([(f,) for f in files], "file string").repartition(len(files), "file")
-
-    def go(batches):
-        for b in batches:
-            for f in b.column("file").to_pylist():
-                rows, n = [], 0
-                with _open(f) as raw:
-                    for h, s in _records(io.TextIOWrapper(raw, encoding="utf-8", errors="replace")):
-                        rows.append((h, s, f, 0, n))
-                        n += 1
-                        if len(rows) == batch:
-                            yield pa.RecordBatch.from_pydict(dict(zip(names_, map(list, zip(*rows)))))
-                            rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names_, map(list, zip(*rows)))))
-
-    names_ = ("read_id", "seq", *PLACE)
-    rows = names.mapInArrow(go, "read_id string, seq string, file string, block long, at long").select("read_id", S.clean("seq").alias("seq"), *(PLACE if place else ()))
-    rows = rows.withColumn("len", F.length("seq").cast("long"))
+    spark.dataSource.register(FastqSource)
+    rows = spark.read.format(FastqSource.name()).option("plan", json.dumps(plan)).option("batch", batch).load()
+    rows = rows.select("read_id", S.clean("seq").alias("seq"), *(PLACE if place else ())).withColumn("len", F.length("seq").cast("long"))
     return rows.repartition(partitions) if partitions else rows
 
 
-def read_sequences(spark: SparkSession, path: str, partitions: int | None = None, place: bool = False) -> DataFrame:
-    """FASTA or FASTQ by the first character of the first file."""
+def is_fastq(spark: SparkSession, path: str) -> bool:
+    """Whether the first file that the path names begins as a FASTQ does."""
     files = list_files(spark, path)
     if not files:
         raise FileNotFoundError(path)
     with _open(files[0]) as f:
-        first = f.read(1)
-    return read_fastq(spark, path, partitions, place=place) if first == b"@" else read_fasta(spark, path, partitions, place)
+        return f.read(1) == b"@"
+
+
+def read_sequences(spark: SparkSession, path: str, partitions: int | None = None, place: bool = False) -> DataFrame:
+    """FASTA or FASTQ by the first character of the first file."""
+    return read_fastq(spark, path, partitions, place=place) if is_fastq(spark, path) else read_fasta(spark, path, partitions, place)
 
 
 def read_tsv(spark: SparkSession, path, schema: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..storage import write_text
+from .contigs import parts
 
 # Columns of the report and of the inverted-repeat table, in file order.
 REPORT = (
@@ -63,8 +64,10 @@ def write_ir_tsv(calls: DataFrame, path: str, classify: bool = True) -> None:
 
 
 def ir_fasta(calls: DataFrame, contigs: DataFrame, width: int = 60) -> DataFrame:
-    """Each call's interval under a header that names its evidence; width 0 leaves one line."""
-    j = calls.join(contigs.select("contig", "seq"), "contig")
+    """Each call's interval under a header that names its evidence; width 0 leaves one line. contigs: (contig, seq), or pieces.
+
+    Intervals are put together from the pieces that they touch, so a contig is never copied to its calls.
+    """
     spacer = F.when(F.col("la1") > F.col("la0"), F.col("spacer"))
     head = F.concat(
         F.lit(">"), "contig", F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit("|break="), F.col("break_pos").cast("string"),
@@ -72,8 +75,11 @@ def ir_fasta(calls: DataFrame, contigs: DataFrame, width: int = 60) -> DataFrame
         F.lit("|matches="), F.col("matches").cast("string"), F.lit("|span="), F.col("span").cast("string"), F.lit("|bin="), F.col("bin").cast("string"),
         F.lit("|class="), S.ir_class_fasta(spacer), F.lit("|spacer="), F.coalesce(spacer.cast("string"), F.lit("NA")),
     )
-    body = S.wrap(F.expr("substring(seq, int(`start`) + 1, int(`end` - `start`))"), width)
-    return j.select(F.concat(head, F.lit("\n"), body).alias("value"))
+    need = calls.select(head.alias("head"), "contig", F.col("start").alias("lo"), F.col("end").alias("hi"))
+    found = parts(need, contigs).groupBy("head").agg(F.array_sort(F.collect_set(F.struct("start", "part"))).alias("parts"))
+    body = F.array_join(F.transform("parts", lambda p: p["part"].cast("string")), "")
+    rows = need.select("head").join(found, "head", "left")
+    return rows.select(F.concat("head", F.lit("\n"), S.wrap(F.coalesce(body, F.lit("")), width)).alias("value"))
 
 
 def write_ir_fasta(calls: DataFrame, contigs: DataFrame, path: str, width: int = 60) -> None:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from revstrand.config import AssemblyConfig, ReadConfig, Refine, Signature, Sketch, read_config
+from revstrand.operators import align
 from revstrand.operators import kernels as K
 
 
@@ -209,16 +210,70 @@ def test_lanes_against_one_pair_at_a_time():
         assert K.lane_edits(a, left, right, size, band).tolist() == want
 
 
+def full_matrix(a, b):
+    """(score, matches, columns) of the best global alignment, by the whole matrix of three states."""
+    none, n, m = (-(10**9), 0, 0), len(a), len(b)
+    plus = lambda t, s, e: (t[0] + s, t[1] + e, t[2] - 1)
+    h, e, f = ([[none] * (m + 1) for _ in range(n + 1)] for _ in range(3))
+    for i in range(n + 1):
+        for j in range(m + 1):
+            best = [(0, 0, 0)] if i == j == 0 else []
+            if i:
+                e[i][j] = max(plus(h[i - 1][j], -5, 0), plus(e[i - 1][j], -1, 0))
+                best.append(e[i][j])
+            if j:
+                f[i][j] = max(plus(h[i][j - 1], -5, 0), plus(f[i][j - 1], -1, 0))
+                best.append(f[i][j])
+            if i and j:
+                best.append(plus(h[i - 1][j - 1], 1, 1) if a[i - 1] == b[j - 1] else plus(h[i - 1][j - 1], -1, 0))
+            h[i][j] = max(best)
+    score, same, columns = h[n][m]
+    return score, same, -columns
+
+
+def random_pairs(n, longest, seed):
+    r = random.Random(seed)
+    for _ in range(n):
+        a = [r.choice("ACGT") for _ in range(r.randint(1, longest))]
+        b = list(a)
+        if r.random() < 0.3:  # unlike
+            b = [r.choice("AACGT") for _ in range(r.randint(1, longest))]
+        for _ in range(r.randint(0, 8)):
+            p, what = r.randrange(len(b) + 1), r.random()
+            if what < 0.4 and p < len(b):
+                b[p] = r.choice("ACGT")
+            elif what < 0.7:
+                b[p:p] = [r.choice("ACGT") for _ in range(r.randint(1, 12))]
+            elif len(b) > 14:
+                del b[p : p + r.randint(1, 12)]
+        yield A("".join(a)), A("".join(b))
+
+
+def test_lanes_equal_the_full_matrix():
+    pairs = list(random_pairs(250, 50, 3))
+    assert align.align(pairs) == [full_matrix(a.tolist(), b.tolist()) for a, b in pairs]
+
+
+def test_a_band_is_proven_not_guessed():
+    """The best path lies 60 diagonals away, and narrow bands agree on a worse one."""
+    shift, body = dna(60, 1), dna(300, 2)
+    a, b = A(shift + body), A(body + shift)
+    got = align.align([(a, b)])[0]
+    assert got == align.align([(b, a)])[0] and got[1] >= 300 and got[2] == 420
+    narrow = [align._decoded(int(align._lanes([(a, b)], w)[0])) for w in (4, 8)]
+    assert narrow[0][0] < got[0] and all(align.sure_band(align.penalty(x[0], len(a), len(b)), len(a), len(b)) > 8 for x in narrow)
+    assert all(align.penalty(full_matrix(x.tolist(), y.tolist())[0], len(x), len(y)) >= 0 for x, y in random_pairs(20, 20, 5))
+
+
 def test_long_arms_are_aligned(monkeypatch):
     x = dna(3000, 70)
     y = rc(x[:1000] + dna(1500, 71) + x[1000:])  # an offset beyond any narrow band
     got = K.arm_identity(A(x), A(y), 0.0)
     assert abs(got - 3000 / 4500) < 0.02
-    monkeypatch.setattr(K, "LONG_ARM", 1)
+    pairs = list(random_pairs(40, 60, 9))
+    assert [K._long_pair(a, b, 2) for a, b in pairs] == align.align(pairs)
+    monkeypatch.setattr(align, "LONG", 1)
     assert K.arm_identity(A(x[:700]), A(rc(x[:300] + "ACGTACG" + x[300:700])), 0.0) == 700 / 707
-    for t in range(15):
-        one, two = A(dna(40 + t, t)), A(dna(37, t) + "ACG" + dna(9, t + 1))
-        assert K._gotoh_long(one, two, 64, -5, -1, 1, -1) == K._gotoh(one, two, 64, -5, -1, 1, -1)
 
 
 def test_trimmed_and_extreme_bounds_by_sorting():

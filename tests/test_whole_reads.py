@@ -2,10 +2,12 @@ import importlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from revstrand.functions import synth as Y
 from revstrand.operators import irmode
 from revstrand.operators import readmode as R
 from revstrand.plans import assembly, coarse
+from revstrand.sources.contigs import CHUNK, pieces
 
 
 @pytest.fixture(scope="module")
@@ -52,10 +54,12 @@ def test_contigs_of_every_read(spark, sf):
 
 
 def test_one_detection_and_time_linear_in_the_contig(spark):
-    """Windows are scanned once for the calls, and what is dealt to tasks is about twice the contig whatever its length."""
-    rows = spark.createDataFrame([("c", "ACGT" * 5000), ("d", "ACGT" * 20_000)], "contig string, seq string")
-    cfg = coarse.replace(assembly.SMALL, window_len=1000, step=200)
-    size = {r["contig"]: r["n"] for r in irmode.tiles(rows, cfg).selectExpr("contig", "length(tile_seq) n").groupBy("contig").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
-    assert size["c"] < 2 * 20_000 and abs(size["d"] / size["c"] - 4) < 0.1
+    """Windows are scanned once for the calls, and what is dealt to tasks is 1.25 times the contig, and a piece more, whatever its length."""
+    rows = spark.createDataFrame([("c", "ACGT" * 50_000), ("d", "ACGT" * 200_000)], "contig string, seq string")
+    cfg = coarse.replace(assembly.SMALL, window_len=20_000, step=4000)
+    p = pieces(rows)
+    dealt = irmode.blocks(p, irmode.windows(p, cfg), cfg)
+    size = {r["contig"]: r["n"] for r in dealt.groupBy("contig").agg(F.sum(F.octet_length("piece")).alias("n")).collect()}
+    assert size["c"] <= 200_000 * 1.25 + 4 * CHUNK and size["d"] <= 800_000 * 1.25 + 11 * CHUNK
     plan = irmode.call_irs(rows, cfg)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("MapInArrow") <= 4 and "tile_seq" not in plan  # chunks and arms; hits are read, not found again
+    assert plan.count("MapInArrow") <= 4  # pieces and arms; hits are read, not found again
