@@ -1,7 +1,7 @@
 """Read mode: detect foldbacks, gather junction support over all reads, decide, cut.
 
 One pass over the sequences finds a compact row per read (`calls`); everything across reads is ordinary aggregation and joins on
-those rows. Only reads to be cut are visited again.
+those rows. To be cut, reads are visited again where they are; no sequence is ever shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import ReadConfig
 from ..storage import written
 from . import kernels as K
+from .lookup import signature_set
 
 CALLS = (
     "read_id string, len long, coarse_split long, matches long, span_p1 long, coarse_score long, arm_end long, arm_start_right long, bin long, "
@@ -24,8 +25,6 @@ _CALLS = pa.schema([
     ("arm_end", pa.int64()), ("arm_start_right", pa.int64()), ("bin", pa.int64()), ("refined_split", pa.int64()), ("refined_score", pa.int64()),
     ("identity_est", pa.float64()), ("gap_est", pa.int64()), ("sig", pa.string()), ("hifi_identity", pa.float64()),
 ])
-#: Broadcast of passing signatures: up to this many; beyond it they are joined instead.
-MOST_SIGNATURES = 200_000
 
 
 def call_read(read_id: str, seq: str, cfg: ReadConfig) -> dict | None:
@@ -127,71 +126,44 @@ def first_cut(decided: DataFrame) -> DataFrame:
     return decided.withColumn("keep_end", end.cast("long"))
 
 
-def corrected(reads: DataFrame, decided: DataFrame, sup: DataFrame, cfg: ReadConfig) -> DataFrame:
+def cut_read(read_id: str, seq: str | None, cfg: ReadConfig, real) -> tuple[str, int, int, str]:
+    """(name, keep_start, keep_end, bases kept) of one read: its call again, and its decision from the signatures that pass as real.
+
+    The decision depends on nothing but the read and that set, so it isn't carried to the read but found there anew.
+    """
+    row = call_read(read_id, seq, cfg) if seq else None
+    if row is None or row["refined_split"] is None:
+        return read_id, 0, len(seq or ""), seq or ""
+    if row["hifi_identity"] < cfg.min_identity:
+        if not cfg.cut_low_ident:
+            return read_id, 0, len(seq), seq
+        end = row["refined_split"]
+    elif row["sig"] is None or row["sig"] in real:
+        return read_id, 0, len(seq), seq
+    else:
+        a = K.as_array(seq)
+        f = K.detect(a, cfg)
+        r = (K.refine(a, f, cfg) or K.refine(a, f, cfg, "hifi")) if f else None
+        end = K.recursive_cut(a, f, r, cfg, real) if r else len(seq)
+    return f"{read_id}_chopped_at_{row['refined_split']}", 0, end, seq[:end]
+
+
+def corrected(reads: DataFrame, sup: DataFrame, cfg: ReadConfig) -> DataFrame:
     """read_id, keep_start, keep_end, seq_out of every read; cuts recurse into the kept part up to max_depth.
 
-    Signatures that pass as real go to the kernel as a broadcast set while they are few; beyond MOST_SIGNATURES each depth is a
-    join instead (`cut_by_joins`).
+    Sequences stay where they are: nothing is joined to them. Signatures that pass as real are looked up in sorted files of the
+    shared folder (`lookup`), however many there are.
     """
-    some = [r["sig"] for r in sup.where(is_real(cfg)).select("sig").limit(MOST_SIGNATURES + 1).collect()]
-    todo = decided.where("decision = 'artefact'").select("read_id", "low_cut", F.col("refined_split").alias("_split"))
-    rows = reads.select("read_id", "seq").join(todo, "read_id", "left")
-    if len(some) > MOST_SIGNATURES:
-        return cut_by_joins(rows, sup, cfg)
-    shared = reads.sparkSession.sparkContext.broadcast(frozenset(some))
+    shared = reads.sparkSession.sparkContext.broadcast(signature_set(sup.where(is_real(cfg)).select("sig")))
     schema = pa.schema([("read_id", pa.string()), ("keep_start", pa.int64()), ("keep_end", pa.int64()), ("seq_out", pa.string())])
 
     def go(batches):
+        real = shared.value
         for b in batches:
-            out = []
-            for i, s, low, split in zip(*(b.column(c).to_pylist() for c in ("read_id", "seq", "low_cut", "_split"))):
-                end = len(s or "")
-                if low:
-                    end = split
-                elif low is not None:
-                    a = K.as_array(s)
-                    f = K.detect(a, cfg)
-                    r = (K.refine(a, f, cfg) or K.refine(a, f, cfg, "hifi")) if f else None
-                    end = K.recursive_cut(a, f, r, cfg, shared.value) if r else end
-                name = i if low is None else f"{i}_chopped_at_{split}"
-                out.append((name, 0, end, (s or "")[:end]))
+            out = [cut_read(i, s, cfg, real) for i, s in zip(b.column("read_id").to_pylist(), b.column("seq").to_pylist())]
             yield pa.RecordBatch.from_pydict({n: [o[j] for o in out] for j, n in enumerate(schema.names)}, schema=schema)
 
-    return rows.mapInArrow(go, "read_id string, keep_start long, keep_end long, seq_out string")
-
-
-def cut_by_joins(rows: DataFrame, sup: DataFrame, cfg: ReadConfig) -> DataFrame:
-    """The same cuts with one join against the passing signatures per depth."""
-    real = sup.where(is_real(cfg)).select(F.col("sig"), F.lit(True).alias("_real"))
-    rows = rows.withColumn("seq", F.coalesce("seq", F.lit("")))
-    state = rows.select("*", F.length("seq").cast("long").alias("keep_end"), F.length("seq").cast("long").alias("reach"), (F.col("low_cut") == F.lit(False)).alias("live"))
-    state = state.withColumn("keep_end", F.when(F.col("low_cut"), F.col("_split")).otherwise(F.col("keep_end")))
-    for _ in range(cfg.max_depth):
-        base = state.schema
-
-        def go(batches):
-            for b in batches:
-                sig, keep, reach = [], [], []
-                for s, live, at in zip(*(b.column(c).to_pylist() for c in ("seq", "live", "reach"))):
-                    got = (None, None, None)
-                    if live:
-                        a = K.as_array(s[:at])
-                        f = K.detect(a, cfg)
-                        r = (K.refine(a, f, cfg) or K.refine(a, f, cfg, "hifi")) if f else None
-                        if r and r.identity >= cfg.min_identity and (g := K.signature(a, f, r.split, cfg)):
-                            got = (g, min(r.split + r.gap // 2, at), max(r.split - r.gap // 2, 0))
-                    for x, v in zip((sig, keep, reach), got):
-                        x.append(v)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig, pa.string()), pa.array(keep, pa.int64()), pa.array(reach, pa.int64())], names=[*b.schema.names, "sig", "_k", "_r"])
-
-        from pyspark.sql import types as T
-
-        found = state.mapInArrow(go, T.StructType([*base.fields, T.StructField("sig", T.StringType()), T.StructField("_k", T.LongType()), T.StructField("_r", T.LongType())]))
-        found = found.join(real, "sig", "left")
-        cut = F.col("sig").isNotNull() & F.col("_real").isNull()
-        state = found.withColumn("keep_end", F.when(cut, F.col("_k")).otherwise(F.col("keep_end"))).withColumn("reach", F.when(cut, F.col("_r")).otherwise(F.col("reach"))).withColumn("live", cut).select(*base.names)
-    name = F.when(F.col("low_cut").isNull(), F.col("read_id")).otherwise(F.concat("read_id", F.lit("_chopped_at_"), F.col("_split").cast("string")))
-    return state.select(name.alias("read_id"), F.lit(0).cast("long").alias("keep_start"), "keep_end", F.substring("seq", F.lit(1), F.col("keep_end").cast("int")).alias("seq_out"))
+    return reads.select("read_id", "seq").mapInArrow(go, "read_id string, keep_start long, keep_end long, seq_out string")
 
 
 def report(decided: DataFrame) -> DataFrame:
@@ -220,7 +192,7 @@ def correct(reads: DataFrame, cfg: ReadConfig) -> tuple[DataFrame, DataFrame]:
     called = written(calls(reads, cfg), "calls")
     sup = support(called)
     decided = decide(called, sup, cfg)
-    return corrected(reads, decided, sup, cfg), report(decided)
+    return corrected(reads, sup, cfg), report(decided)
 
 
 def sweep(reads: DataFrame, configs: dict[str, ReadConfig]) -> DataFrame:
@@ -239,21 +211,25 @@ def sweep(reads: DataFrame, configs: dict[str, ReadConfig]) -> DataFrame:
     return out
 
 
-def position_profile(reads: DataFrame, called: DataFrame, most: int = 500) -> DataFrame:
-    """Mean match of the two arms at each distance i from the junction, gap corrected. Tasks send one row per distance."""
-    rows = reads.select("read_id", "seq").join(called.where("refined_split IS NOT NULL").select("read_id", "refined_split", "gap_est"), "read_id")
+def position_profile(reads: DataFrame, cfg: ReadConfig, most: int = 500) -> DataFrame:
+    """Mean match of the two arms of refined foldbacks at each distance i from the junction, gap corrected.
+
+    One pass: reads are called and compared where they are, and tasks send one row per distance.
+    """
 
     def go(batches):
         good, seen = np.zeros(most, np.int64), np.zeros(most, np.int64)
         for b in batches:
-            for s, split, gap in zip(*(b.column(c).to_pylist() for c in ("seq", "refined_split", "gap_est"))):
-                m = K.arm_matches(K.as_array(s), split, gap, most)
-                good[: len(m)] += m
-                seen[: len(m)] += 1
+            for i, s in zip(b.column("read_id").to_pylist(), b.column("seq").to_pylist()):
+                row = call_read(i, s, cfg) if s else None
+                if row is not None and row["refined_split"] is not None:
+                    m = K.arm_matches(K.as_array(s), row["refined_split"], row["gap_est"], most)
+                    good[: len(m)] += m
+                    seen[: len(m)] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(good[at]), pa.array(seen[at])], names=["i", "good", "seen"])
 
-    sums = rows.select("seq", "refined_split", "gap_est").mapInArrow(go, "i int, good long, seen long").groupBy("i").agg(F.sum("good").alias("good"), F.sum("seen").alias("n"))
+    sums = reads.select("read_id", "seq").mapInArrow(go, "i int, good long, seen long").groupBy("i").agg(F.sum("good").alias("good"), F.sum("seen").alias("n"))
     return sums.select("i", (F.col("good") / F.col("n")).alias("mean_match"), "n")
 
 

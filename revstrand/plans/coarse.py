@@ -142,8 +142,7 @@ def _sig_flank(s, d):
 
 
 def _profile(s, d):
-    r = Y.reads(s, d)
-    return R.position_profile(r, R.calls(r, CFG)).select("i", F.round("mean_match", 6).alias("mean_match"), "n")
+    return R.position_profile(Y.reads(s, d), CFG).select("i", F.round("mean_match", 6).alias("mean_match"), "n")
 
 
 def _rolling(s, d):

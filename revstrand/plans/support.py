@@ -74,14 +74,14 @@ def _report(s, d):
 
 
 def _corrected(s, d):
-    reads, sup, dec = _whole(s, d)
+    reads, sup, _ = _whole(s, d)
     one = replace(C.CFG, max_depth=1)
-    return R.corrected(reads, dec, sup, one).select("read_id", "keep_end", F.md5(F.col("seq_out").cast("binary")).alias("seq_md5"))
+    return R.corrected(reads, sup, one).select("read_id", "keep_end", F.md5(F.col("seq_out").cast("binary")).alias("seq_md5"))
 
 
 def _recursive(s, d):
-    reads, sup, dec = _whole(s, d)
-    return R.corrected(reads, dec, sup, C.CFG).select("read_id", "keep_end")
+    reads, sup, _ = _whole(s, d)
+    return R.corrected(reads, sup, C.CFG).select("read_id", "keep_end")
 
 
 QUERIES = {

@@ -19,12 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a table of the shared folder: it is computed once, lineage ends there, and the folder goes when the driver ends."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
     path = f"{shared_dir(spark)}/revstrand/{tag}-{uuid.uuid4().hex}"
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table of the shared folder: it is computed once, lineage ends there, and the folder goes when the driver ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

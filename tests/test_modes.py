@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import math
 import random
 import re
@@ -10,6 +11,7 @@ from revstrand.operators import evaluate as E
 from revstrand.operators import irmode as I
 from revstrand.operators import kernels as K
 from revstrand.operators import readmode as R
+from revstrand.operators.lookup import signature_set
 from revstrand.sources import readers, sinks
 from revstrand.streaming import pass2
 
@@ -48,15 +50,34 @@ def test_low_identity_and_cut_low(spark):
     assert report.first()["decision"] == "artefact" and fixed.first()["keep_end"] == report.first()["refined_split"]
 
 
-def test_joins_cut_like_the_broadcast(spark, monkeypatch):
+def test_cuts_look_signatures_up_in_files(spark):
+    """The cuts of a plain set, from sorted files of one signature a block, and no sequence is moved."""
     rows = reads(spark)
     inner = dna(2000, 3)
     inner = inner + rc(inner)
     rows = rows.unionByName(spark.createDataFrame([("deep", inner + rc(inner))], rows.schema))
-    one = {r["read_id"]: r["keep_end"] for r in R.correct(rows, CFG)[0].collect()}
-    monkeypatch.setattr(R, "MOST_SIGNATURES", 0)
-    two = {r["read_id"]: r["keep_end"] for r in R.correct(rows, CFG)[0].collect()}
-    assert one == two and one["deep_chopped_at_4000"] < 2100
+    sup = R.support(R.calls(rows, CFG))
+    real = {r["sig"] for r in sup.where(R.is_real(CFG)).collect()}
+    fixed = R.corrected(rows, sup, CFG)
+    want = {(r["read_id"], r["seq"]): R.cut_read(r["read_id"], r["seq"], CFG, real) for r in rows.collect()}
+    assert sorted(map(tuple, fixed.collect())) == sorted(want.values())
+    assert [r["keep_end"] for r in fixed.where("read_id = 'deep_chopped_at_4000'").collect()][0] < 2100
+    files = signature_set(sup.where(R.is_real(CFG)), block=1)
+    assert real and all(s in files for s in real) and not any(f"{i:032x}" in files for i in range(50))
+    by_read = R.decide(R.calls(rows, CFG), sup, CFG).where("decision = 'artefact'").select("read_id").collect()
+    assert {r["read_id"] for r in by_read} == {k.rsplit("_chopped_at_", 1)[0] for k, *_ in want.values() if "_chopped_at_" in k}
+    for plan in (fixed, R.position_profile(rows, CFG)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in text and not re.search(r"Exchange[^\n]*seq", text)
+
+
+def test_signature_files_of_many_blocks(spark):
+    sigs = spark.range(20_000).selectExpr("md5(cast(id as string)) sig").unionByName(spark.createDataFrame([("zz",), (None,), ("0" * 32,)], "sig string"))
+    s = signature_set(sigs.repartition(4), block=100)
+    s.kept = 3
+    assert len(s.blocks) >= 200 and all(hashlib.md5(str(i).encode()).hexdigest() in s for i in range(0, 20_000, 37))
+    assert not any(hashlib.md5(str(i).encode()).hexdigest() in s for i in range(20_000, 20_500)) and "0" * 32 in s and "f" * 32 not in s
+    assert len(s._cache) == 3 and "0" * 32 not in signature_set(sigs.where("false"))
 
 
 def test_rank_is_percent_rank(spark):
@@ -227,7 +248,7 @@ def test_stream_decides_like_the_batch(spark, tmp_path):
 def test_position_profile(spark):
     a = dna(1500, 8)
     rows = spark.createDataFrame([("x", a + dna(400, 9) + rc(a))], "read_id string, seq string")
-    p = R.position_profile(rows, R.calls(rows, CFG), 100).agg(F.avg("mean_match")).first()[0]
+    p = R.position_profile(rows, CFG, 100).agg(F.avg("mean_match")).first()[0]
     assert p > 0.6
 
 
@@ -260,7 +281,7 @@ def test_traps_of_cutting(spark):
     sup, uncut = R.support(called), replace(CFG, max_depth=0)
     decided = R.decide(called, sup, uncut)
     artefacts = {r["read_id"] for r in decided.where("decision = 'artefact'").collect()}
-    got = {r["read_id"]: r for r in R.corrected(rows, decided, sup, uncut).collect()}
+    got = {r["read_id"]: r for r in R.corrected(rows, sup, uncut).collect()}
     named = {k for k in got if "_chopped_at_" in k}
     assert artefacts and {k.rsplit("_chopped_at_", 1)[0] for k in named} == artefacts
     assert all(got[k]["keep_end"] == len(got[k]["seq_out"]) for k in named)
