@@ -142,31 +142,38 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, seed: str = "
     goal = goal.withColumn("whole", F.floor("mean").cast("long")).withColumn("part", F.col("mean") - F.floor("mean"))
     goal = cut(goal.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")), "mix-goal")
 
-    def order(r: DataFrame) -> DataFrame:
-        q = rank(F.col("u"), F.col("part"), F.col("mean_size"), F.col("size"))
-        return _on(r, goal).withColumn("q", F.when((F.col("part") > 0) & (F.col("mean_size") > 0), q)).withColumn("v", F.col("q") * F.col("part") / (1 - F.col("part") + F.col("q") * F.col("part")))
-
     # v is the rank with the source's fraction taken out, on (0, 1): as even as random numbers where sizes are alike
+    q = F.when((F.col("part") > 0) & (F.col("mean_size") > 0), rank(F.col("u"), F.col("part"), F.col("mean_size"), F.col("size")))
+    v = F.col("q") * F.col("part") / (1 - F.col("part") + F.col("q") * F.col("part"))
+    # ranks are written once; every round reads them, and then what its predecessor has left
+    ranks = cut(_on(rows, goal).withColumn("q", q).where("q IS NOT NULL").withColumn("v", v).select("source", "v", *KEY), "mix-ranks")
     key = F.struct(*KEY)
-    at = goal.select("source", F.col("budget").alias("left0"), F.expr("struct(double('-inf') AS q, cast(null AS long) AS doc_id, 0L AS size)").alias("stop0"))
+    at = goal.withColumn("left0", F.col("budget")).withColumn("stop0", F.expr("struct(double('-inf') AS q, cast(null AS long) AS doc_id, 0L AS size)"))
     end = F.expr("struct(double('inf') AS q, cast(null AS long) AS doc_id, 0L AS size)")
-    took = []
+    took, open_, old = [], ranks, [goal]
     for i in range(ROUNDS):
         fits = (key > F.col(f"stop{i}")) & (F.col("size") <= F.col(f"left{i}"))
-        ranked = _on(order(rows).where("q IS NOT NULL"), at).where(fits).withColumn("gap", F.col(f"left{i}"))
-        found = _prefix(ranked.select("source", "v", "gap", *KEY), bins, few).withColumn("_hit", F.lit(True))
+        # what fits now has fitted before, as stops rise and gaps shrink
+        ranked = cut(_on(open_, at.select("source", f"stop{i}", f"left{i}")).where(fits).select("source", "v", F.col(f"left{i}").alias("gap"), *KEY), "mix-open")
+        found = _prefix(ranked, bins, few).withColumn("_hit", F.lit(True))
         at = _on(at, found, "left").withColumn(f"stop{i + 1}", F.coalesce("stop", end)).withColumn(f"left{i + 1}", F.coalesce("left", f"left{i}"))
         at = cut(at.drop("stop", "left", "_hit"), "mix-stop")
+        if open_ is not ranks:
+            drop(open_)
+        drop(old.pop())
+        old.append(at)
+        open_ = ranked
         took.append(fits & (key < F.col(f"stop{i + 1}")))
     taken = reduce(Column.__or__, took)
     # of the documents that aren't taken, the one that closes the gap best, if it makes it smaller
-    after = _on(order(rows).where("q IS NOT NULL"), at).where(~taken).withColumn("gap", F.col(f"left{ROUNDS}"))
+    after = _on(ranks, at).where(~taken).withColumn("gap", F.col(f"left{ROUNDS}"))
     closing = after.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), *KEY, "gap")).alias("c"))
     closing = closing.where("c.col1 < c.gap").select("source", F.col("c.doc_id").alias("cd"), F.col("c.size").alias("cs"))
     closes = F.col("doc_id").eqNullSafe(F.col("cd")) & (F.col("size") == F.col("cs"))
     closing = _on(after.select("source", "doc_id", "size"), closing).where(closes).groupBy("source").agg(F.count("*").alias("n"), F.first("cd").alias("cd"), F.first("cs").alias("cs")).where("n = 1").drop("n")
     ends = cut(_on(at, closing, "left"), "mix-ends")
-    done = _on(order(full) if keep else order(rows), ends)
+    drop(open_, ranks)
+    done = _on(full if keep else rows, ends).withColumn("q", q)
     extra = F.when(F.col("q").isNotNull() & (taken | F.coalesce(closes & F.col("cs").isNotNull(), F.lit(False))), 1).otherwise(0)
     done = done.withColumn("copies", (F.col("whole") + extra).cast("long"))
     return done.select("doc_id", F.col("size"), "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *(["source"] if keep_source else []), *[F.col(f"_k_{c}").alias(c) for c in keep])
