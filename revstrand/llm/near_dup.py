@@ -49,6 +49,8 @@ CROWD = 256
 BLOCK, ELEMENTS, COLUMNS = 1024, 1 << 18, 4096
 #: A shingle is rare among the documents still to be compared if at most this many have it.
 RARE = 16
+#: Links whose components one task finds (two longs each, 16 MB in all).
+FEW_EDGES = 1 << 20
 _U = np.uint64
 
 
@@ -243,12 +245,36 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, weighted: bool =
     return rows.mapInArrow(go, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and the smallest id of each one's component, by hooking roots to smaller ones and halving paths, all edges at once."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    up = np.arange(len(ids))
+    while True:
+        x, y = up[a], up[b]
+        if (x == y).all():
+            return ids, ids[up]
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (far := up[up]).tobytes() != up.tobytes():
+            up = far
+
+
+def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
     """id, root (the smallest id of its component) of every id in edges(a, b), by alternating large-star and small-star steps.
 
-    Neighbours are handled by aggregation and a join, so a hub is never gathered in one row; each round's edges are written.
+    Neighbours are handled by aggregation and a join, so a hub is never gathered in one row; each round's edges are written. Edges
+    that number `few` at most are the work of one task, which gives the same.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "near-cc")
+    if e.count() <= few:
+
+        def go(batches):
+            got = [(np.asarray(b.column("u")), np.asarray(b.column("v"))) for b in batches if b.num_rows]
+            if got:
+                ids, root = _roots(*(np.concatenate(x) for x in zip(*got)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root)], names=["id", "root"])
+
+        return e.coalesce(1).mapInArrow(go, "id long, root long")
     last, e_before = None, e
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -157,3 +157,23 @@ def test_sizes_of_a_doc_id_whose_texts_have_one_set(spark):
     named = spark.createDataFrame([(1, 5, 1), (2, 5, 2)], "rep long, band long, root long")
     node, met = N._rare(named, spark.createDataFrame(z, "doc_id long, z binary"), 0.8, False, lambda rows, tag: rows)
     assert sorted(map(tuple, node.collect())) == [(1, 36, 36, 0), (2, 56, 36, 0)] and [tuple(x) for x in met.collect()] == [(1, 2)]
+
+
+def test_components_of_few_and_many_edges(spark):
+    r = random.Random(11)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 40)] + [(5, 5)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    near, want = {}, {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for start in sorted(near):
+        todo = [start] if start not in want else []
+        while todo:
+            if (x := todo.pop()) not in want:
+                want[x] = start
+                todo += near[x]
+    want = {k: v for k, v in want.items() if near[k] != {k}}
+    for few in (0, 1 << 20):
+        assert {r["id"]: r["root"] for r in N.components(df, few).collect()} == want
+    assert N.components(df.where("a < 0")).collect() == []
