@@ -163,8 +163,9 @@ def _tidy_two(go):
     return both
 
 
-def _merge(groups: int, all_docs: bool):
-    """Settles one bucket of a batch: the hits of keys that several of its documents hold, and with `all_docs` the bucket of its run."""
+def _merge(groups: int, all_docs: bool, run: bool):
+    """Settles one bucket of a batch: the hits of keys that several of its documents hold, and with `run` the bucket of its run."""
+    as_run = run
 
     def go(t: pa.Table) -> pa.Table:
         run = np.asarray(t.column("run"))
@@ -188,7 +189,7 @@ def _merge(groups: int, all_docs: bool):
                 hit = np.repeat(np.maximum.reduceat(docs, first) != docs[first], width)
             if (b := _pack_by(_group_of(docs[hit], groups), docs[hit], [k[hit] for k in keys], _HITS)) is not None:
                 put(0, b)
-            if all_docs:  # one entry per fingerprint: its first document
+            if as_run:  # one entry per fingerprint: its first document
                 put(1, _pack_by(np.full(len(first), bucket, np.int32), docs[first], [k[first] for k in keys], _HITS))
         return pa.Table.from_batches(out, schema=_MERGED)
 
@@ -244,7 +245,7 @@ class FingerprintIndex:
                 new[1:] = best[1:] != best[:-1]
                 yield from filter(None, block.pack(ids[new], [small[best[new]]]))
 
-        rows = docs.select("doc_id", "text").mapInArrow(sketch, PACKED).groupBy("bucket").applyInArrow(_tidy(_merge(groups, True)), MERGED)
+        rows = docs.select("doc_id", "text").mapInArrow(sketch, PACKED).groupBy("bucket").applyInArrow(_tidy(_merge(groups, True, True)), MERGED)
         fresh = self._write(rows)
         parts = [self._read(fresh, 0).select(*_HITS.names), *(self._shared(fresh, old) for old in self.runs)]
         hits = cut(reduce(DataFrame.unionByName, parts), "index-hits")
@@ -275,10 +276,10 @@ class FingerprintIndex:
             return
 
         def go(one: pa.Table, two: pa.Table) -> pa.Table:
-            (k1, d1), (k2, d2) = _run_of(one), _run_of(two)
-            (keys,), docs, new, _ = _sorted_first([np.concatenate([k1, k2])], np.concatenate([d1, d2]))
+            docs, keys, _ = _unpack(pa.concat_tables([one, two]))
+            keys, docs, new, _ = _sorted_first(keys, docs)
             bucket = (one if one.num_rows else two).column("bucket")[0].as_py()
-            b = _pack_by(np.full(int(new.sum()), bucket, np.int32), docs[new], [keys[new]], _HITS)
+            b = _pack_by(np.full(int(new.sum()), bucket, np.int32), docs[new], [k[new] for k in keys], _HITS)
             fixed = [pa.array(np.full(b.num_rows, x, np.int32)) for x in (1, bucket)]
             return pa.Table.from_batches([pa.RecordBatch.from_arrays([*fixed, *b.columns], schema=_MERGED)])
 
@@ -341,61 +342,68 @@ def _hit_mask(docs: np.ndarray, keys: list[np.ndarray], h_docs: np.ndarray, h_ke
     return out[:n]
 
 
-def repeats(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> tuple[DataFrame, int]:
+def _candidates(block: _Block):
+    """Digests of the windows over a shared anchor, of one group's texts."""
+
+    def go(texts: pa.Table, hits: pa.Table) -> pa.Table:
+        out = []
+        if texts.num_rows and hits.num_rows:
+            h_docs, h_keys, _ = _unpack(hits)
+            for b in X.pieces([_texts(texts)]):
+                _, _, _, to, (h, h2) = _words(b, (0, 1))
+                small, best, w_to = _anchors(h, to)
+                ids = np.asarray(b.column("doc_id"), np.int64)[X.owners(w_to)]
+                on = _hit_mask(ids, [small[best]], h_docs, h_keys)
+                one, two = X.ngrams(h, to, WINDOW)[0], X.ngrams(h2, to, WINDOW, 1)[0]
+                out += filter(None, block.pack(ids[on], [one[on], two[on]]))
+        return pa.Table.from_batches(out, schema=_PACKED)
+
+    return go
+
+
+def repeats(docs: DataFrame, batches: int = BATCHES) -> tuple[DataFrame, int]:
     """Per group, the 128-bit digests of windows that a document with a smaller doc_id has too, as packed rows (written).
 
-    The index takes the documents in `batches` ranges of doc_id, oldest first.
+    An index of this call takes the documents in `batches` ranges of doc_id, oldest first. `history.History` is one that stays.
     """
     spark = docs.sparkSession
     groups = buckets_for(docs, GROUP_BYTES, 64)
     buckets = buckets_for(docs, BUCKET_BYTES, 16)
-    own = index or FingerprintIndex(spark, buckets=buckets, groups=groups)
+    own = FingerprintIndex(spark, buckets=buckets, groups=groups)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)]).alias("c")).first()["c"] or [] if batches > 1 else []
     cuts = sorted(set(cuts))
     found = []
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = docs if lo is None else docs.where(F.col("doc_id") > lo)
-        found.append(own.add(part if hi is None else part.where(F.col("doc_id") <= hi)))
-    if index is None:
+    try:
+        for lo, hi in zip([None, *cuts], [*cuts, None]):
+            part = docs if lo is None else docs.where(F.col("doc_id") > lo)
+            found.append(own.add(part if hi is None else part.where(F.col("doc_id") <= hi)))
+    finally:
         own.close()
     shared = reduce(DataFrame.unionByName, found)
     packed = _packed_texts(docs, own.groups, sieve(_ids(shared)))
     buckets, groups = own.buckets, own.groups
     block = _Block(buckets, groups, False)
 
-    def candidates(texts: pa.Table, hits: pa.Table) -> pa.Table:
-        """Digests of the windows over a shared anchor."""
-        out = []
-        if texts.num_rows and hits.num_rows:
-            h_docs, h_keys, _ = _unpack(hits)
-            for b in X.pieces([_texts(texts)]):
-                _, _, _, to, (h, h2) = _words(b, (0, 1))
-                small, best, w_to = _anchors(h, to)
-                ids = np.asarray(b.column("doc_id"), np.int64)[X.owners(w_to)]
-                on = _hit_mask(ids, [small[best]], h_docs, h_keys)
-                one, two = X.ngrams(h, to, WINDOW)[0], X.ngrams(h2, to, WINDOW, 1)[0]
-                out += filter(None, block.pack(ids[on], [one[on], two[on]]))
-        return pa.Table.from_batches(out, schema=_PACKED)
-
-    rows = packed.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(_tidy_two(candidates), PACKED)
-    hits = cut(rows.groupBy("bucket").applyInArrow(_tidy(_merge(groups, False)), MERGED).select(*_HITS.names), "digest-hits")
+    rows = packed.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(_tidy_two(_candidates(block)), PACKED)
+    hits = cut(rows.groupBy("bucket").applyInArrow(_tidy(_merge(groups, False, False)), MERGED).select(*_HITS.names), "digest-hits")
     drop(*found)
     return hits, groups
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES, keep: tuple[str, ...] = (), history=None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by one space), text and the columns in `keep` of every row of docs.
 
     `text` is the row's own text where nothing was removed, else `kept`. Null or empty text: no words, kept ''. Documents of
     under 13 words keep everything. Rows with the same doc_id (repeats) are one document to each other: their windows don't
     count against themselves. Equal windows of one document are no ties. Null doc_id: kept whole, and counts against none. Long
-    texts are judged whole. An empty table gives an empty result. `keep` takes no name of the result's own columns.
+    texts are judged whole. An empty table gives an empty result. `keep` takes no name of the result's own columns. With a `history`
+    (`history.History`) documents that it took before count too, and docs are taken into it.
     """
     if clash := {"doc_id", "n_words", "n_removed", "kept", "text"} & set(keep):
         raise ValueError(f"columns of the result can't be kept besides: {sorted(clash)}")
     kinds = dict(docs.dtypes)
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep)
-    hits, groups = repeats(known.select("doc_id", "text"), batches)
+    hits, groups = history.take(known.select("doc_id", "text")) if history else repeats(known.select("doc_id", "text"), batches)
 
     def final(texts: pa.Table, found: pa.Table) -> pa.Table:
         out = []
