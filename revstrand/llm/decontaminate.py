@@ -6,12 +6,14 @@ apart. Shared q-grams are counted per slice of a document and item, then in over
 what reaches the bound in all three is verified by an alignment banded to the same diagonals. The first two counts are taken in
 hashed cells, so a collision can only keep a region that the third count drops.
 
-Items are a stated query set: they go to every document in blocks of bounded size, one after the other, so documents are never
-shuffled and a large benchmark means more passes, not a larger broadcast.
+Items are a stated query set: their index is written to the shared folder in blocks of bounded size, and every batch of texts goes
+through all blocks, one at a time. Documents are read once and never shuffled, however large the benchmark is.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,14 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as X
-from ._spark import cut, drop, table
+from ._spark import scratch_path, table
+from .token_counts import _filesystem
 
 Q = 8
 #: Bytes of a pattern and edits per byte.
 WINDOW, EDIT_RATE = 80, 0.1
 #: Items shorter than this (normalised) are searched verbatim, as whole words: an edit would make them another text.
 LEAST = 24
-#: Bytes of item text that one pass broadcasts.
+#: Bytes of item text that one block indexes.
 BLOCK_BYTES = 2 << 20
 #: Bytes of a document that are counted together; slices overlap by a pattern and its edits.
 SLICE = 512
@@ -284,37 +287,46 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+def _stored(p: Patterns, path: str) -> str:
+    """A block's index as a file of the shared folder."""
+    store, at = _filesystem(path)
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(at) as f:
+        pickle.dump(p, f, 5)
+    return path
+
+
+@functools.lru_cache(maxsize=1)
+def _loaded(path: str) -> Patterns:
+    """A block's index in a task, which holds one at a time."""
+    store, at = _filesystem(path)
+    with store.open_input_stream(at) as f:
+        return pickle.load(f)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rate: float = EDIT_RATE) -> DataFrame:
     """docs' rows with `leaks`: array of (item_id, start, edits) of benchmark items that the text holds, by item.
 
     An item leaks if one of its windows stands in the text with at most window * rate edits; an item of under a window is a
-    window, one of under LEAST bytes must stand there verbatim as whole words. Null or empty text: no leaks. Null items and
+    window, one of under LEAST bytes must stand there verbatim as whole words. Short windows have a smaller budget where the full one
+    would leave fewer than two q-grams to share (24 to about 47 bytes at the defaults). Null or empty text: no leaks. Null items and
     items without a letter or digit are none; an empty benchmark leaks nowhere. Items of equal text are all named. Long texts
     are searched whole, in slices. Other columns pass through; an own column `leaks` is replaced. Repeated rows are judged alike.
     """
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("edits", pa.int64())]))
-    schema = "array<struct<item_id:long,start:long,edits:long>>"
-
-    def told(shared):
-        @F.arrow_udf(schema)
-        def of(texts: pa.Array) -> pa.Array:  # only texts go to Python, and no text comes back
-            got = [g for t in X.spread(texts) for g in matches(t, shared.value)]
-            return pa.array([[{"item_id": i, "start": a, "edits": e} for i, a, e in g] for g in got], kind)
-
-        return of
-
-    rows, written = docs.withColumn("leaks", F.array().cast(schema)), None
-    shared = None
-    for block in _blocks(benchmark):
-        if shared is not None:  # an earlier block's leaks are written before the next block goes out
-            before, written = written, cut(rows, "leaks")
-            rows = written
-            shared.destroy()
-            if before is not None:
-                drop(before)
-        shared = docs.sparkSession.sparkContext.broadcast(patterns(block, window, rate))
-        rows = rows.withColumn("leaks", F.array_sort(F.concat("leaks", told(shared)(F.col("text")))))
-    return rows
+    folder = scratch_path(docs.sparkSession, "benchmark")
+    paths = [_stored(patterns(block, window, rate), f"{folder}/{i:06d}.patterns") for i, block in enumerate(_blocks(benchmark))]
+
+    @F.arrow_udf("array<struct<item_id:long,start:long,edits:long>>")
+    def told(texts: pa.Array) -> pa.Array:  # only texts go to Python, and no text comes back
+        got: list[list] = [[] for _ in range(len(texts))]
+        for path in paths:
+            p = _loaded(path)
+            for own, more in zip(got, (g for t in X.spread(texts) for g in matches(t, p))):
+                own += more
+        return pa.array([[{"item_id": i, "start": a, "edits": e} for i, a, e in sorted(g)] for g in got], kind)
+
+    return docs.withColumn("leaks", told(F.col("text")))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
