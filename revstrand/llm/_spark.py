@@ -84,12 +84,17 @@ def buckets_for(df: DataFrame, bytes_each: int, least: int = 16, most: int = 1 <
     return n
 
 
+#: Allocator settings of Python workers: large arrays and Arrow buffers go back to the system when they are freed, so that workers
+#: that wait between stages stay small. What a user has set stays.
+WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows and bytes of the Arrow batches that tasks exchange with Python; texts can be long, so both are bounded.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of sf_dir. Sessions that still have Spark's default Arrow batches get bounded ones."""
+    """A table of sf_dir. Sessions that still have Spark's default Arrow batches get bounded ones, and workers their allocator settings."""
+    for k, v in WORKER_ENV.items():
+        spark.sparkContext.environment.setdefault(k, v)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
