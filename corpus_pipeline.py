@@ -27,10 +27,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each class of near duplicates, and of its repeated rows one; a doc_id's other texts stay."""
-    first = near_dup.classes(docs).where("doc_id = class_id").select("doc_id").distinct()
+    found = cut(near_dup.classes(docs), "pipeline-classes")
+    per = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    # what goes and what is there more than once: few ids, so texts don't move where they can be sent round
+    apart = cut(per.where("n > 1 OR doc_id != class_id"), "pipeline-apart")
+    kept = docs.select(COLUMNS).join(apart.select("doc_id"), "doc_id", "left_anti")
+    again = apart.where("doc_id = class_id").select("doc_id")
+    drop(found)
+    if again.isEmpty():
+        return kept
     one = Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")
-    kept = docs.select(COLUMNS).join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(COLUMNS)
-    return kept.unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+    return kept.unionByName(docs.select(COLUMNS).join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select(COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
