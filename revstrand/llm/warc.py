@@ -22,6 +22,8 @@ from .token_counts import _filesystem
 
 #: Compressed bytes after which a file is rolled, payload bytes of a shard, and the most shards (they grow beyond that).
 FILE_BYTES, SHARD_BYTES, MOST_SHARDS = 64 << 20, 32 << 20, 16384
+#: Shards of a task, about.
+SHARDS_EACH = 2
 #: Rows per shard in the sample that bounds shards, by payload bytes.
 SAMPLE = 24
 #: Payloads below this many bytes are written whole even where they repeat.
@@ -205,7 +207,9 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, sh
     edges = bounds(thin, shard_bytes)
     some = rows.select("page_id", "digest", F.lit(1).alias("kind"), "url", F.lit(None).cast("long").alias("refers_to"), "payload")
     said = verdicts(thin).select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), "refers_to", F.lit(None).cast("binary").alias("payload"))
-    dealt = _dealt(some.unionByName(said), edges).repartition(F.col("shard"))
+    # a task has a few shards, however many there are, and streams one after the other
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (len(edges) + 1) // SHARDS_EACH)
+    dealt = _dealt(some.unionByName(said), edges).repartition(n, "shard")
     order = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "kind", "url")
     attempts = f"_temporary-{uuid.uuid4().hex}"
     _write(order, path, attempts, file_bytes, date, level).write.parquet(f"{path}/{attempts}/manifest")  # the attempts that count
