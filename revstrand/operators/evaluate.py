@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import _joined, quantiles, values_at
 
 #: Bases of a bin in which intervals are paired.
 BIN = 16384
@@ -39,12 +40,13 @@ def false_positives(calls: DataFrame, matched: DataFrame) -> DataFrame:
 
 def truth_summary(matched: DataFrame) -> DataFrame:
     """Per scenario group: planted, detected, recovery, and true medians of errors over the detected."""
-    found = lambda c: F.when(F.col("detected"), c)
-    return matched.groupBy("scenario_group").agg(
-        F.count("*").alias("n"), F.count_if("detected").alias("found"), (F.count_if("detected") / F.count("*")).alias("recovery"),
-        F.percentile(found(F.col("call_end") - F.col("call_start") - (F.col("t1") - F.col("t0"))), 0.5).alias("median_len_error"),
-        F.percentile(found(F.col("call_ident") - F.col("true_identity")), 0.5).alias("median_ident_error"),
-    )
+    key = ["scenario_group"]
+    found = matched.where("detected")
+    length, ident = F.col("call_end") - F.col("call_start") - (F.col("t1") - F.col("t0")), F.col("call_ident") - F.col("true_identity")
+    out = matched.groupBy(*key).agg(F.count("*").alias("n"), F.count_if("detected").alias("found"), (F.count_if("detected") / F.count("*")).alias("recovery"))
+    for name, x in (("median_len_error", length), ("median_ident_error", ident)):
+        out = _joined(out, quantiles(found, key, x, {name: ("linear", 0.5)}), key, "left")
+    return out
 
 
 def confusion(ours: DataFrame, base: DataFrame, total: int, accept=("artefact",)) -> DataFrame:
@@ -68,18 +70,14 @@ def delta_bucket(d: Column) -> Column:
 def breakpoint_deltas(ours: DataFrame, base: DataFrame) -> DataFrame:
     """Buckets of |our split - theirs| over reads that both have a breakpoint for."""
     d = ours.where("refined_split IS NOT NULL").join(base.where("bp IS NOT NULL"), "id").select(F.abs(F.col("refined_split") - F.col("bp")).alias("d"))
-    return d.groupBy(delta_bucket(F.col("d")).alias("bucket")).agg(F.count("*").alias("n"), F.min("d").alias("min_d"), F.percentile("d", 0.5).alias("median_d"), F.round(F.avg("d"), 6).alias("mean_d"), F.max("d").alias("max_d"))
+    d = d.withColumn("bucket", delta_bucket(F.col("d")))
+    rest = d.groupBy("bucket").agg(F.count("*").alias("n"), F.min("d").alias("min_d"), F.round(F.avg("d"), 6).alias("mean_d"), F.max("d").alias("max_d"))
+    return rest.join(quantiles(d, ["bucket"], F.col("d"), {"median_d": ("linear", 0.5)}), "bucket").select("bucket", "n", "min_d", "median_d", "mean_d", "max_d")
 
 
 def nearest_rank(df: DataFrame, key: list[str], x: str, q: float) -> DataFrame:
-    """sorted[int(q * (n - 1))] per key, without collecting a key's values: rows are ranked by a window over (key, x) counts.
-
-    Values are counted first, so that repeated values of a hot key shrink before they are ordered.
-    """
-    c = df.where(F.col(x).isNotNull()).groupBy(*key, x).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*key).orderBy(x)
-    c = c.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*key)))
-    return c.where(F.col("upto") > F.floor(F.lit(q) * (F.col("n") - 1))).groupBy(*key).agg(F.min(x).alias(x))
+    """sorted[floor(q * (n - 1))] per key, by refined counts: no key's values are ordered in one task."""
+    return quantiles(df, key, F.col(x), {x: ("nearest", q)})
 
 
 def report_vs_truth(truth: DataFrame, report: DataFrame, tol: int = 100) -> DataFrame:
@@ -140,20 +138,19 @@ def sample_summary(reads: DataFrame, report: DataFrame) -> DataFrame:
     r = report.groupBy("sample").agg(
         F.count("*").alias("detected"), F.count_if(F.col("decision") == "artefact").alias("artefact"), F.count_if(F.col("decision") == "real").alias("real"),
         F.count_if(F.col("decision") == "low_ident").alias("low_ident"), art("len").alias("bases_before"), art("refined_split").alias("bases_after"),
-        F.round(F.avg("identity_est"), 6).alias("identity_mean"), F.round(F.percentile("identity_est", 0.5), 6).alias("identity_median"),
+        F.round(F.avg("identity_est"), 6).alias("identity_mean"),
     )
-    for name, q in (("identity_q10", 0.10), ("identity_q90", 0.90)):
-        r = r.join(nearest_rank(report, ["sample"], "identity_est", q).withColumnRenamed("identity_est", name), "sample", "left")
+    wanted = {"identity_median": ("linear", 0.5), "identity_q10": ("nearest", 0.10), "identity_q90": ("nearest", 0.90)}
+    r = _joined(r, quantiles(report, ["sample"], F.col("identity_est"), wanted), ["sample"], "left").withColumn("identity_median", F.round("identity_median", 6))
     j = total.join(r, "sample", "left")
     six = lambda c: F.round(c, 6)
     return j.withColumn("bases_removed", F.col("bases_before") - F.col("bases_after")).withColumn("frac_retained", six(F.try_divide("bases_after", "bases_before"))).withColumn("detected_frac", six(F.try_divide("detected", "total")))
 
 
 def n50(df: DataFrame, key: list[str], x: str = "len") -> DataFrame:
-    """Largest length at which the lengths not below it hold half of all; lengths are counted first, then accumulated."""
-    c = df.groupBy(*key, x).agg(F.sum(x).alias("s"))
-    c = c.withColumn("cum", F.sum("s").over(Window.partitionBy(*key).orderBy(F.col(x).desc()))).withColumn("all", F.sum("s").over(Window.partitionBy(*key)))
-    return c.where(2 * F.col("cum") >= F.col("all")).groupBy(*key).agg(F.max(x).alias("n50"))
+    """Largest length at which the lengths not below it hold half of all, by refined sums of lengths from the longest on."""
+    half = df.groupBy(*key).agg(F.sum(x).alias("_all")).where("_all > 0").select(*key, F.lit("n50").alias("name"), F.ceil(F.col("_all") / 2).alias("t"))
+    return values_at(df, key, -F.col(x), half, weight=F.col(x)).select(*key, (-F.col("value")).alias("n50"))
 
 
 def set_relation(a: DataFrame, b: DataFrame) -> DataFrame:

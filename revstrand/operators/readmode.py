@@ -6,6 +6,8 @@ those rows. To be cut, reads are visited again where they are; no sequence is ev
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,15 +29,19 @@ _CALLS = pa.schema([
 ])
 
 
-def call_read(read_id: str, seq: str, cfg: ReadConfig) -> dict | None:
-    """One read's row, None without a foldback. Support is gathered with the hifi refinement whatever the mode."""
+def call_read(read_id: str, seq: str, cfg: ReadConfig, shared: dict | None = None) -> dict | None:
+    """One read's row, None without a foldback. Support is gathered with the hifi refinement whatever the mode.
+
+    shared: what several configurations have in common on this read (sketch, matches, refinements); it is filled on the way.
+    """
     a = K.as_array(seq)
-    f = K.detect(a, cfg)
+    f = K.detect(a, cfg, shared)
     if f is None:
         return None
     row = dict.fromkeys(_CALLS.names) | {"read_id": read_id, "len": len(a), "coarse_split": f.split, "matches": f.matches, "span_p1": f.span, "coarse_score": f.score, "arm_end": f.arm_end, "arm_start_right": f.arm_start_right, "bin": f.bin}
-    hifi = K.refine(a, f, cfg, "hifi")
-    r = (K.refine(a, f, cfg) or hifi) if cfg.refine.mode == "ont" else hifi
+    refined = lambda mode: K._kept(shared, ("refined", cfg.refine, mode, f.split, f.span, f.arm_end, f.arm_start_right), lambda: K.refine(a, f, cfg, mode))
+    hifi = refined("hifi")
+    r = (refined("ont") or hifi) if cfg.refine.mode == "ont" else hifi
     if hifi is not None and r is not None:
         row |= {"refined_split": r.split, "refined_score": r.score, "identity_est": float(r.identity), "gap_est": r.gap, "hifi_identity": float(hifi.identity)}
         if hifi.identity >= cfg.min_identity:
@@ -103,16 +109,20 @@ def is_real(cfg: ReadConfig):
     return ok & (F.col("mean_ident") >= cfg.min_support_ident) if cfg.min_support_ident > 0 else ok
 
 
+def _said(cfg: ReadConfig):
+    """The decision on a call that has its signature's support."""
+    return (
+        F.when(F.col("refined_split").isNull(), F.lit(None).cast("string")).when(F.col("hifi_identity") < cfg.min_identity, "low_ident")
+        .when(F.col("sig").isNull(), "unknown").when(is_real(cfg), "real").otherwise("artefact")
+    )
+
+
 def decide(called: DataFrame, sup: DataFrame, cfg: ReadConfig) -> DataFrame:
     """calls with support and `decision`: low_ident, unknown (no signature), real or artefact; null without refinement."""
     ranked = support_rank(sup)
     # reads without a signature stay where they are: joined, they would all be one key
     rows = called.where("sig IS NOT NULL").join(ranked, "sig", "left").unionByName(called.where("sig IS NULL"), allowMissingColumns=True)
-    said = (
-        F.when(F.col("refined_split").isNull(), F.lit(None).cast("string")).when(F.col("hifi_identity") < cfg.min_identity, "low_ident")
-        .when(F.col("sig").isNull(), "unknown").when(is_real(cfg), "real").otherwise("artefact")
-    )
-    rows = rows.withColumn("decision", said)
+    rows = rows.withColumn("decision", _said(cfg))
     if cfg.cut_low_ident:
         rows = rows.withColumn("low_cut", F.col("decision") == "low_ident").withColumn("decision", F.when(F.col("decision") == "low_ident", "artefact").otherwise(F.col("decision")))
     else:
@@ -196,19 +206,35 @@ def correct(reads: DataFrame, cfg: ReadConfig) -> tuple[DataFrame, DataFrame]:
 
 
 def sweep(reads: DataFrame, configs: dict[str, ReadConfig]) -> DataFrame:
-    """tag and counts of each decision for every configuration; configurations that differ only across reads share one pass."""
-    from dataclasses import replace
+    """tag and counts of each decision for every configuration, from one pass over the reads.
+
+    A read is sketched once for all configurations of one sketch, matches are binned once per tolerance and foldbacks refined once,
+    so a configuration more costs what it has of its own. Those that differ only across reads share their rows too. Counts of all
+    tags come from one aggregation over the rows.
+    """
+    alike = lambda cfg: replace(cfg, min_support=0, min_support_ident=0.0, max_depth=0, cut_low_ident=False)  # noqa: E731  what calls don't depend on
+    keys = list(dict.fromkeys(map(alike, configs.values())))
+    schema = pa.schema([*_CALLS, ("key", pa.int32())])
 
-    called: dict[ReadConfig, DataFrame] = {}
-    out = None
+    def go(batches):
+        for b in batches:
+            rows = []
+            for i, s in zip(b.column("read_id").to_pylist(), b.column("seq").to_pylist()):
+                shared: dict = {}
+                rows += [r | {"key": k} for k, cfg in enumerate(keys) if s and (r := call_read(i, s, cfg, shared))]
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    called = written(reads.select("read_id", "seq").mapInArrow(go, CALLS + ", key int"), "sweep-calls")
+    some = called.where("sig IS NOT NULL")
+    sup = some.groupBy("key", "sig").agg(F.count("*").alias("n"), F.avg("hifi_identity").alias("mean_ident"))
+    rows = some.join(sup, ["key", "sig"]).unionByName(called.where("sig IS NULL"), allowMissingColumns=True)
+    told, names = [], ("detected", "artefact", "low_ident", "real", "unknown")
     for tag, cfg in configs.items():
-        key = replace(cfg, min_support=0, min_support_ident=0.0, max_depth=0, cut_low_ident=False)  # what calls don't depend on
-        if key not in called:
-            called[key] = written(calls(reads, cfg), "calls")
-        rows = decide(called[key], support(called[key]), cfg)
-        one = rows.agg(F.lit(tag).alias("tag"), F.count("*").alias("detected"), *[F.count_if(F.col("decision") == d).alias(d) for d in ("artefact", "low_ident", "real", "unknown")])
-        out = one if out is None else out.unionByName(one)
-    return out
+        mine, said = F.col("key") == keys.index(alike(cfg)), _said(cfg)
+        if cfg.cut_low_ident:
+            said = F.when(said == "low_ident", "artefact").otherwise(said)
+        told.append(F.struct(F.lit(tag).alias("tag"), F.count_if(mine).alias("detected"), *[F.count_if(mine & (said == d)).alias(d) for d in names[1:]]))
+    return rows.agg(F.array(*told).alias("told")).select(F.explode("told").alias("x")).select("x.*")
 
 
 def position_profile(reads: DataFrame, cfg: ReadConfig, most: int = 500) -> DataFrame:

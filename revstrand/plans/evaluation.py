@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import synth as Y
 from ..operators import baseline as B
 from ..operators import evaluate as E
+from ..sources import readers
 from .scalar import _with
 
 T = Y.table
@@ -152,12 +153,12 @@ def _stratified(s, d):
 
 
 def _semi(s, d):
-    want = T(s, d, "report").where("decision = 'real'").select("read_id")
-    return Y.reads(s, d).join(want, "read_id", "left_semi").select("read_id", F.length("seq").cast("long").alias("len"))
+    want = T(s, d, "report").where("decision = 'real'").select(F.col("read_id").alias("id"))
+    return readers.extract(Y.reads(s, d), want).select("read_id", F.length("seq").cast("long").alias("len"))
 
 
 def _first_n(s, d):
-    return Y.reads(s, d).orderBy("doc_id").limit(100).select("read_id")
+    return readers.first_n(Y.reads(s, d), 100, "doc_id").select("read_id")
 
 
 def _sweep(s, d):

@@ -84,9 +84,17 @@ def _recursive(s, d):
     return R.corrected(reads, sup, C.CFG).select("read_id", "keep_end")
 
 
+#: Configurations of the sweep: others across reads, and another identity that decides on signatures too.
+SWEEP = {"base": C.CFG, "support5": replace(C.CFG, min_support=5), "support1": replace(C.CFG, min_support=1), "ident95": replace(C.CFG, min_identity=0.95)}
+
+
+def _sweep(s, d):
+    return R.sweep(Y.reads(s, d), SWEEP)
+
+
 QUERIES = {
     "support_map": _map, "support_hist": _hist, "support_summary": _summary, "support_rank": _rank, "decision": _decision, "first_cut": _first_cut, "cut_low_ident": _cut_low,
-    "run_counters": _counters, "read_report": _report, "corrected_reads": _corrected, "recursive_cut": _recursive,
+    "run_counters": _counters, "read_report": _report, "corrected_reads": _corrected, "recursive_cut": _recursive, "sweep_reads": _sweep,
 }
 
 SUP = [
@@ -117,4 +125,11 @@ ORACLE = {
       round(identity_est, 3) AS identity_est, gap_est::BIGINT AS gap_est, coalesce(support_n, 0)::BIGINT AS support_n, round(coalesce(rank_frac, 0), 6) AS support_rank_frac, coalesce(support_span, 0)::BIGINT AS support_span, decision FROM dec"""),
     "corrected_reads": _with(*FULL, body=""", cut AS (SELECT reads.read_id, seq, decision, refined_split, CASE WHEN decision = 'artefact' THEN least(refined_split + gap_est // 2, length(seq)) ELSE length(seq) END AS keep_end FROM reads LEFT JOIN dec USING (read_id))
       SELECT CASE WHEN decision = 'artefact' THEN read_id || '_chopped_at_' || refined_split ELSE read_id END AS read_id, keep_end::BIGINT AS keep_end, md5(substr(seq, 1, keep_end::INT)) AS seq_md5 FROM cut"""),
+    "sweep_reads": _with(*C.POINTS, *C.BINS, *C.CHAIN, *C.REFINE, C.SIG[0].replace("AND r.identity_est >= 0.6", ""), C.SIG[1], body=""",
+      cf AS (SELECT * FROM (VALUES ('base', 3, 0.6::DOUBLE), ('support5', 5, 0.6::DOUBLE), ('support1', 1, 0.6::DOUBLE), ('ident95', 3, 0.95::DOUBLE)) t(tag, ms, mi)),
+      x AS (SELECT tag, ms, mi, r.identity_est, CASE WHEN r.identity_est >= mi THEN s.sig END AS sig FROM cf, refined r LEFT JOIN sigs s USING (read_id)),
+      y AS (SELECT *, count(*) OVER (PARTITION BY tag, sig) AS n FROM x),
+      z AS (SELECT tag, CASE WHEN identity_est < mi THEN 'low_ident' WHEN sig IS NULL THEN 'unknown' WHEN n >= ms THEN 'real' ELSE 'artefact' END AS decision FROM y)
+      SELECT tag, (SELECT count(*) FROM coarse) AS detected, count(*) FILTER (decision = 'artefact') AS artefact, count(*) FILTER (decision = 'low_ident') AS low_ident,
+        count(*) FILTER (decision = 'real') AS "real", count(*) FILTER (decision = 'unknown') AS "unknown" FROM z GROUP BY tag"""),
 }

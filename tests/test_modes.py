@@ -6,7 +6,7 @@ import re
 from dataclasses import replace
 
 from pyspark.sql import functions as F
-from revstrand.config import AssemblyConfig, ReadConfig, Refine
+from revstrand.config import AssemblyConfig, ReadConfig, Refine, Sketch
 from revstrand.operators import evaluate as E
 from revstrand.operators import irmode as I
 from revstrand.operators import kernels as K
@@ -258,6 +258,24 @@ def test_sweep(spark):
     assert got["long"]["detected"] == 7
 
 
+def test_one_pass_for_many_configurations(spark, monkeypatch):
+    """Twelve configurations, also of other sketches and modes, equal twelve runs; a read is sketched once per sketch."""
+    rows = reads(spark)
+    configs = {f"{s}-{i}-{a}": replace(CFG, min_support=s, min_identity=i, min_arm=a) for s in (1, 5) for i in (0.5, 0.999) for a in (200, 2800)}
+    configs |= {"ont": replace(CFG, refine=replace(CFG.refine, mode="ont")), "tol": replace(CFG, diag_tol=300), "low": replace(CFG, min_identity=1.0, cut_low_ident=True), "sketch": replace(CFG, sketch=Sketch(15, 11), min_matches=40)}
+    got = {r["tag"]: r.asDict() for r in R.sweep(rows, configs).collect()}
+    for tag, cfg in configs.items():
+        called = R.calls(rows, cfg)
+        by = {r["decision"]: r["count"] for r in R.decide(called, R.support(called), cfg).groupBy("decision").count().collect()}
+        assert got[tag] == {"tag": tag, "detected": sum(by.values()), **{d: by.get(d, 0) for d in ("artefact", "low_ident", "real", "unknown")}}, tag
+    seen, a = [], K.as_array(rows.where("read_id LIKE 'art0%'").first()["seq"])
+    monkeypatch.setattr(K, "_points", lambda *x, f=K._points: seen.append(x[1]) or f(*x))
+    shared: dict = {}
+    for cfg in configs.values():
+        K.detect(a, cfg, shared)
+    assert sorted(seen, key=str) == sorted({c.sketch for c in configs.values()}, key=str)
+
+
 def test_traps_of_ont_mode():
     """T2, T3: support and the identity gate are hifi's, the reported split and identity are ont's, and hifi's where ont finds nothing."""
     a = dna(1500, 60)
