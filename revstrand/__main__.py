@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--no-classify-ir", dest="classify", action="store_false")
     s.add_argument("--cap-policy", choices=("penalize", "clamp", "drop"), default="penalize")
     for x in (r, s):
+        x.add_argument("--one-file", action="store_true", help="write each table or FASTA as one file, on a folder that all executors share")
         x.add_argument("-t", "--partitions", type=int, help="partitions that records are dealt to after the scan")
     return p
 
@@ -66,6 +67,7 @@ def assembly_settings(a: argparse.Namespace):
 
 def main(argv: list[str] | None = None, spark=None) -> int:
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from .operators import irmode, readmode
     from .sources import readers, sinks
@@ -77,6 +79,11 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if a.command == "correct":
         rows = readers.read_sequences(spark, a.input, a.partitions)
         fixed, report = readmode.correct(rows, read_settings(a))
+        if a.one_file:
+            sinks.write_single_file(sinks.corrected_fasta(fixed), a.output)
+            if a.report:
+                sinks.write_single_file(sinks.tsv_lines(sinks.report_tsv(report), "read_id"), a.report, ("read_id",), "\t".join(sinks.REPORT))
+            return 0
         sinks.write_corrected_fasta(fixed, a.output)
         if a.report:
             sinks.write_report_tsv(report, a.report)
@@ -88,9 +95,15 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     else:  # a contig is never one row; its pieces are written once and read for windows, hits and arms
         contigs = written(read_pieces(spark, a.input).withColumn("contig", first_token("contig")), "pieces")
     calls = written(irmode.call_irs(contigs, assembly_settings(a)), "calls")
-    if a.tsv:
+    if a.tsv and a.one_file:
+        t = sinks.ir_tsv(calls, a.classify)
+        lines = sinks.tsv_lines(t, "contig", "start")
+        sinks.write_single_file(lines.withColumn("_at", F.col("start").cast("long")), a.tsv, ("contig", "_at", "value"), "#" + "\t".join(t.columns))
+    elif a.tsv:
         sinks.write_ir_tsv(calls, a.tsv, a.classify)
-    if a.fasta:
+    if a.fasta and a.one_file:
+        sinks.write_single_file(sinks.ir_fasta(calls, contigs, a.fasta_wrap), a.fasta, ("value",))
+    elif a.fasta:
         sinks.write_ir_fasta(calls, contigs, a.fasta, a.fasta_wrap)
     if a.html:
         sinks.write_html_report(calls, a.html, os.path.splitext(os.path.basename(a.html.rstrip("/")))[0])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .quantiles import _joined, quantiles, values_at
 
 #: Bases of a bin in which intervals are paired.
@@ -49,6 +50,28 @@ def truth_summary(matched: DataFrame) -> DataFrame:
     return out
 
 
+def acceptance(truth: DataFrame, calls: DataFrame) -> DataFrame:
+    """Per scenario group: planted, found, calls that are no planted repeat's best match, and median errors of arm, spacer and identity.
+
+    truth: contig, scenario_group, planted, true_identity, la0, la1, ra0, ra1; calls: the table of `irmode.call_irs`. An error is the
+    call's value less the true one; the true arm is the shorter one.
+    """
+    key = ["scenario_group"]
+    own = F.xxhash64("contig", "win_start", "bin", "break_pos")
+    c = calls.select("contig", "start", "end", "tir_ident", "arm_len", "spacer", own.alias("call_id"))
+    t = truth.select("*", F.col("contig").alias("truth_id"), F.col("la0").alias("t0"), F.col("ra1").alias("t1"))
+    met = match_truth(t.where("planted"), c).where("detected").join(c.select("call_id", "arm_len", "spacer"), "call_id")
+    met = written(met.select(*key, "call_id", (F.col("arm_len") - F.least(F.col("la1") - F.col("la0"), F.col("ra1") - F.col("ra0"))).alias("arm"), (F.col("spacer") - (F.col("ra0") - F.col("la1"))).alias("gap"), (F.col("call_ident") - F.col("true_identity")).alias("ident")), "acceptance")
+    out = truth.groupBy(*key).agg(F.count_if("planted").alias("planted"))
+    wrong = false_positives(c, met).join(truth.select("contig", *key), "contig").groupBy(*key).agg(F.count("*").alias("false_calls"))
+    for more in (met.groupBy(*key).agg(F.count("*").alias("found")), wrong):
+        out = _joined(out, more, key, "left")
+    for name, x in (("median_arm_error", "arm"), ("median_spacer_error", "gap"), ("median_ident_error", "ident")):
+        out = _joined(out, quantiles(met, key, F.col(x), {name: ("linear", 0.5)}), key, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return out.select(*key, "planted", zero("found"), zero("false_calls"), "median_arm_error", "median_spacer_error", F.round("median_ident_error", 3).alias("median_ident_error"))
+
+
 def confusion(ours: DataFrame, base: DataFrame, total: int, accept=("artefact",)) -> DataFrame:
     """Counts and scores of ours(id, decision) against base(id): full outer join of the flagged, the rest by the total."""
     a = ours.where(F.col("decision").isin(*accept)).select("id").distinct().withColumn("a", F.lit(1))
