@@ -183,3 +183,17 @@ def test_sample_is_bounded_and_never_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = labelled_sample(docs, labels, "quality", 3, 1, 20)
     assert got.count() <= 40 and got.where(crc_mod("doc_id", 3) == 1).count() == 0
+
+
+def test_null_labels_and_no_labels(spark):
+    """Null labels teach nothing; without labelled rows, and without any, every score is 0.5."""
+    docs = spark.createDataFrame([(i, f"a line of text {i}\nand another one\n", None) for i in range(40)] + [(None, None, 3)], "doc_id long, text string, label int")
+    none = spark.createDataFrame([(i, None) for i in range(40)] + [(None, 1)], "doc_id long, label int")
+    for labels in (none, none.where("false")):
+        sample = labelled_sample(docs, labels, "label", 5, 0, 10)
+        assert sample.count() == 0
+        for part in (T, Q):
+            got = part.score(docs, part.train(sample)).collect()
+            assert len(got) == 41 and {r["score"] for r in got} == {0.5}
+    some = none.unionByName(spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, label int"))
+    assert labelled_sample(docs, some, "label", 5, 0, 10).count() > 10

@@ -2,6 +2,8 @@ import corpus_pipeline as C
 from revstrand.llm import decontaminate as D
 
 from .conftest import DOCS
+from .test_near_dup import brute as near_brute
+from .test_substring_dedup import brute as passages_brute
 
 
 def test_stages_on_hostile_rows(spark, docs, tmp_path):
@@ -24,6 +26,21 @@ def test_stages_on_hostile_rows(spark, docs, tmp_path):
     assert D.find(rows.select("doc_id", "text"), bench).where("size(leaks) > 0").count() == 0
 
 
+def test_stages_against_brute_force(spark, corpus, docs, tmp_path):
+    """What near_dedup keeps and what substring_dedup leaves, by all pairs of documents and all windows of what the stage was given."""
+    spark.createDataFrame([(1, "one benchmark passage that nobody else would ever write down in this order")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    given = C.cut(C.identify_language(spark, docs, str(tmp_path)), "t-given")
+    rows = [(r["doc_id"], r["text"]) for r in given.collect()]
+    kept = C.cut(C.drop_near_duplicates(spark, given, str(tmp_path)), "t-kept")
+    root = near_brute(rows)
+    want = sorted({(i, t) for i, t in rows if root[i] == i})
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == want and len(want) < len(rows)
+    left = C.drop_repeated_passages(spark, kept, str(tmp_path)).collect()
+    plain = {d: (n, gone, text) for d, n, gone, text in passages_brute(want)}
+    assert {r["doc_id"] for r in left} == {d for d, (n, gone, _) in plain.items() if n == 0 or gone < n}
+    assert all(r["text"] == (plain[r["doc_id"]][2] if plain[r["doc_id"]][1] else dict(want)[r["doc_id"]]) for r in left)
+
+
 def test_empty_table(spark, docs, tmp_path):
     docs.where("false").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -38,3 +38,8 @@ def test_counts_against_the_tokenizer(spark, docs, corpus):
     got = K.count_tokens(docs, block=4096).collect()
     assert sorted((x[0], len(e.encode_ordinary(x[1] or ""))) for x in corpus) == sorted(map(tuple, got))
     assert K.count_tokens(docs.where("false")).count() == 0
+
+
+def test_a_column_of_the_results_name_is_ignored(spark):
+    rows = spark.createDataFrame([(1, "two words", 99, "f"), (2, None, 98, "g")], "doc_id long, text string, n_tokens long, file string")
+    assert sorted(map(tuple, K.count_tokens(rows).collect())) == [(1, 2), (2, 0)]
