@@ -260,7 +260,7 @@ def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
-    """id, root (the smallest id of its component) of every id in edges(a, b), by alternating large-star and small-star steps.
+    """id, root (the smallest id of its component) of every id in edges(a, b) that isn't its own root, by alternating large-star and small-star steps.
 
     Neighbours are handled by aggregation and a join, so a hub is never gathered in one row; each round's edges are written. Edges
     that number `few` at most are the work of one task, which gives the same.
@@ -272,7 +272,7 @@ def components(edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
             got = [(np.asarray(b.column("u")), np.asarray(b.column("v"))) for b in batches if b.num_rows]
             if got:
                 ids, root = _roots(*(np.concatenate(x) for x in zip(*got)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root)], names=["id", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ids != root]), pa.array(root[ids != root])], names=["id", "root"])
 
         return e.coalesce(1).mapInArrow(go, "id long, root long")
     last, e_before = None, e

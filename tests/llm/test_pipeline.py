@@ -29,6 +29,7 @@ def test_stages_on_hostile_rows(spark, docs, tmp_path):
 def test_stages_against_brute_force(spark, corpus, docs, tmp_path):
     """What near_dedup keeps and what substring_dedup leaves, by all pairs of documents and all windows of what the stage was given."""
     spark.createDataFrame([(1, "one benchmark passage that nobody else would ever write down in this order")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
     given = C.cut(C.identify_language(spark, docs, str(tmp_path)), "t-given")
     rows = [(r["doc_id"], r["text"]) for r in given.collect()]
     kept = C.cut(C.drop_near_duplicates(spark, given, str(tmp_path)), "t-kept")
