@@ -86,7 +86,7 @@ def buckets_for(df: DataFrame, bytes_each: int, least: int = 16, most: int = 1 <
 
 #: Allocator settings of Python workers: large arrays and Arrow buffers go back to the system when they are freed, so that workers
 #: that wait between stages stay small. What a user has set stays.
-WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system"}
+WORKER_ENV = {"MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 #: Rows and bytes of the Arrow batches that tasks exchange with Python; texts can be long, so both are bounded.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 

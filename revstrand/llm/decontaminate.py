@@ -322,7 +322,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, rate: floa
         got: list[list] = [[] for _ in range(len(texts))]
         for path in paths:
             p = _loaded(path)
-            for own, more in zip(got, (g for t in X.spread(texts) for g in matches(t, p))):
+            for own, more in zip(got, [g for t in X.spread(texts) for g in matches(t, p)]):  # to the end of spread, which gives memory back
                 own += more
         return pa.array([[{"item_id": i, "start": a, "edits": e} for i, a, e in sorted(g)] for g in got], kind)
 
