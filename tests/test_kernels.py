@@ -296,3 +296,20 @@ def test_config_precedence():
     assert (f.min_matches, f.sketch.k, f.refine.mode, f.max_depth, f.refine.window) == (20, 17, "hifi", 1, 200)
     with pytest.raises(ValueError):
         read_config("none")
+
+
+def test_edits_of_all_splits_and_all_shifts_at_once(monkeypatch):
+    """Arms with a random gap: many edits at every split. Lanes whose work is the square of the edits must not be asked for them."""
+    rng = np.random.default_rng(3)
+    a = np.concatenate([x := rng.choice(np.frombuffer(b"ACGT", np.uint8), 260), rng.choice(np.frombuffer(b"ACGTN", np.uint8), 240), K.revcomp(x)])
+    first, count, arm = 330, 90, 300
+    want = [K.edit_distance(a[s - arm : s], K.revcomp(a[s : s + arm]), arm) for s in range(first, first + count)]
+    assert K.arm_edits(a, first, count, arm).tolist() == want
+    most, seen = [], K.lane_edits
+    monkeypatch.setattr(K, "lane_edits", lambda a, l, r, n, band, enough=None: most.append(band) or seen(a, l, r, n, band, enough))
+    assert K._first_best(a, np.arange(first, first + count), arm, 200) == (min(want), int(np.argmin(want))) and max(most) <= K.FEW_EDITS
+    assert K._first_best(a, np.arange(first, first + count), arm, min(want) - 1)[0] == min(want)
+    one, two = x[:200], np.concatenate([x[:90], x[95:200], x[:5]])
+    for band in (3, 200):
+        got = K.prefix_edits(one, two, band, np.array([201]))
+        assert got.tolist() == [min(K.edit_distance(one[:n], two[:n], 200), band + 1) for n in range(201)]
