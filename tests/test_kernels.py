@@ -313,3 +313,30 @@ def test_edits_of_all_splits_and_all_shifts_at_once(monkeypatch):
     for band in (3, 200):
         got = K.prefix_edits(one, two, band, np.array([201]))
         assert got.tolist() == [min(K.edit_distance(one[:n], two[:n], 200), band + 1) for n in range(201)]
+
+
+def test_bands_are_proven_without_widening_them_to_the_gaps_bound(monkeypatch):
+    """A tenth of other bases: gaps alone prove only a band of hundreds of diagonals; what mismatches outside cost proves a small one."""
+    from revstrand.operators import align
+
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    pairs = []
+    for shift in (0, 0, 3, -7, 25):
+        a = rng.choice(letters, 900)
+        b = np.where(rng.random(900) < 0.1, rng.choice(letters, 900), a)
+        pairs.append((a, np.concatenate([b[:300], rng.choice(letters, max(shift, 0)), b[300 + max(-shift, 0) :]])))
+    a = np.frombuffer(b"AC" * 300, np.uint8)
+    pairs += [(a, np.concatenate([a[3:], a[:9]])), (a, np.where(rng.random(600) < 0.2, 65, a).astype(np.uint8))]
+    bands, lanes = [], align._lanes
+    monkeypatch.setattr(align, "_lanes", lambda some, band: bands.append(band) or lanes(some, band))
+    got = align.align(pairs[:5])
+    assert max(bands) <= 4 * align.BOUNDED
+    got += align.align(pairs[5:])
+    assert got == [align._decoded(int(lanes([p], max(map(len, p)))[0])) for p in pairs]
+    for a, b in pairs:  # the bound of paths outside isn't above the best path that is kept out of the band
+        full = align.penalty(align._decoded(int(lanes([(a, b)], max(len(a), len(b)))[0]))[0], len(a), len(b))
+        inside = align.penalty(align._decoded(int(lanes([(a, b)], 2)[0]))[0], len(a), len(b))
+        reach = max(len(a), len(b))
+        assert full == inside or align.outside([(a, b)], 2, reach)[0] <= full
+        assert align.outside([(a, b)], 2, reach)[0] == align.outside([(a, b)], 2, reach, 20_000)[0]
