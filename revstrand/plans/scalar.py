@@ -55,7 +55,19 @@ def _milli(s, d):
 
 
 def _edits(s, d):
-    return Y.reads(s, d).select("read_id", S.banded_edits("seq", S.revcomp("seq"), 15).alias("ed"), S.banded_edits(F.col("seq"), F.expr("substring(seq, 4)"), 10).alias("ed_shift"))
+    import pyarrow as pa
+
+    from ..operators import kernels
+
+    def go(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1000):  # reads whose points are held at once
+                ids, seqs = b.column("read_id").slice(i, 1000), [x.encode() for x in b.column("seq").slice(i, 1000).to_pylist()]
+                both = [kernels.revcomp(kernels.as_array(x)).tobytes() for x in seqs]
+                cols = kernels.pair_edits(list(zip(seqs, both)), 15), kernels.pair_edits([(x, x[3:]) for x in seqs], 10)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in cols)], names=["read_id", "ed", "ed_shift"])
+
+    return Y.reads(s, d).select("read_id", "seq").mapInArrow(go, "read_id string, ed long, ed_shift long")
 
 
 def _hamming(s, d):

@@ -340,3 +340,17 @@ def test_bands_are_proven_without_widening_them_to_the_gaps_bound(monkeypatch):
         reach = max(len(a), len(b))
         assert full == inside or align.outside([(a, b)], 2, reach)[0] <= full
         assert align.outside([(a, b)], 2, reach)[0] == align.outside([(a, b)], 2, reach, 20_000)[0]
+
+
+def test_edits_of_many_pairs_in_step():
+    rng = np.random.default_rng(12)
+    letters, pairs = np.frombuffer(b"ACGT", np.uint8), [(b"", b""), (b"", b"AC"), (b"ACGTA", b""), (b"A", b"C")]
+    for _ in range(150):
+        a = rng.choice(letters, int(rng.integers(1, 90))).tobytes()
+        b = bytearray(a)
+        for _ in range(int(rng.integers(0, 9))):
+            at = int(rng.integers(0, len(b) + 1))
+            b[at : at + int(rng.integers(0, 3))] = rng.choice(letters, int(rng.integers(0, 3))).tobytes()
+        pairs.append((a, bytes(b)))
+    for band in (0, 3, 10):
+        assert K.pair_edits(pairs, band) == [min(naive_edit(a, b), band + 1) for a, b in pairs]
