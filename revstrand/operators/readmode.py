@@ -34,10 +34,15 @@ def call_read(read_id: str, seq: str, cfg: ReadConfig, shared: dict | None = Non
 
     shared: what several configurations have in common on this read (sketch, matches, refinements); it is filled on the way.
     """
+    return _called(read_id, seq, cfg, shared)[0]
+
+
+def _called(read_id: str, seq: str, cfg: ReadConfig, shared: dict | None = None) -> tuple[dict | None, K.Fold | None, K.Refined | None]:
+    """A read's row with the foldback and the refinement that it is made of."""
     a = K.as_array(seq)
     f = K.detect(a, cfg, shared)
     if f is None:
-        return None
+        return None, None, None
     row = dict.fromkeys(_CALLS.names) | {"read_id": read_id, "len": len(a), "coarse_split": f.split, "matches": f.matches, "span_p1": f.span, "coarse_score": f.score, "arm_end": f.arm_end, "arm_start_right": f.arm_start_right, "bin": f.bin}
     refined = lambda mode: K._kept(shared, ("refined", cfg.refine, mode, f.split, f.span, f.arm_end, f.arm_start_right), lambda: K.refine(a, f, cfg, mode))
     hifi = refined("hifi")
@@ -46,7 +51,7 @@ def call_read(read_id: str, seq: str, cfg: ReadConfig, shared: dict | None = Non
         row |= {"refined_split": r.split, "refined_score": r.score, "identity_est": float(r.identity), "gap_est": r.gap, "hifi_identity": float(hifi.identity)}
         if hifi.identity >= cfg.min_identity:
             row["sig"] = K.signature(a, f, hifi.split, cfg)
-    return row
+    return row, f, r
 
 
 def calls(reads: DataFrame, cfg: ReadConfig) -> DataFrame:
@@ -141,7 +146,7 @@ def cut_read(read_id: str, seq: str | None, cfg: ReadConfig, real) -> tuple[str,
 
     The decision depends on nothing but the read and that set, so it isn't carried to the read but found there anew.
     """
-    row = call_read(read_id, seq, cfg) if seq else None
+    row, f, r = _called(read_id, seq, cfg) if seq else (None, None, None)
     if row is None or row["refined_split"] is None:
         return read_id, 0, len(seq or ""), seq or ""
     if row["hifi_identity"] < cfg.min_identity:
@@ -151,10 +156,7 @@ def cut_read(read_id: str, seq: str | None, cfg: ReadConfig, real) -> tuple[str,
     elif row["sig"] is None or row["sig"] in real:
         return read_id, 0, len(seq), seq
     else:
-        a = K.as_array(seq)
-        f = K.detect(a, cfg)
-        r = (K.refine(a, f, cfg) or K.refine(a, f, cfg, "hifi")) if f else None
-        end = K.recursive_cut(a, f, r, cfg, real) if r else len(seq)
+        end = K.recursive_cut(K.as_array(seq), f, r, cfg, real)
     return f"{read_id}_chopped_at_{row['refined_split']}", 0, end, seq[:end]
 
 

@@ -339,3 +339,17 @@ def test_support_rank_of_one_support(spark):
     want = sorted(sigs, key=lambda s: (s >= "2", s))
     got = {r["sig"]: r["rank_frac"] for r in R.support_rank(sup).collect()}
     assert all(abs(got[s] - (1 - i / 699)) < 1e-12 for i, s in enumerate(want))
+
+
+def test_a_cut_read_is_detected_once_for_its_call(monkeypatch):
+    import numpy as np
+    from revstrand.operators import generate as G
+
+    cfg = ReadConfig(end_guard=300, max_depth=1)
+    seq = G.foldback(np.random.default_rng(4), 900).tobytes().decode()
+    want, seen, detect = R.call_read("a", seq, cfg), [], K.detect
+    monkeypatch.setattr(K, "detect", lambda *a: seen.append(1) or detect(*a))
+    assert want["sig"] and R.cut_read("a", seq, cfg, {want["sig"]}) == ("a", 0, len(seq), seq)
+    seen.clear()
+    name, start, end, kept = R.cut_read("a", seq, cfg, set())
+    assert (name, start, end) == (f"a_chopped_at_{want['refined_split']}", 0, want["refined_split"] + want["gap_est"] // 2) and kept == seq[:end] and len(seen) == 1
