@@ -353,3 +353,34 @@ def test_a_cut_read_is_detected_once_for_its_call(monkeypatch):
     seen.clear()
     name, start, end, kept = R.cut_read("a", seq, cfg, set())
     assert (name, start, end) == (f"a_chopped_at_{want['refined_split']}", 0, want["refined_split"] + want["gap_est"] // 2) and kept == seq[:end] and len(seen) == 1
+
+
+def test_windows_of_many_blocks_are_sketched_once(monkeypatch):
+    r = random.Random(11)
+    small = AssemblyConfig(min_matches=10, min_arm=200, window_len=1000, step=300, refine=Refine(window=100), dedup=50)
+    shared = dna(400, 900)
+    seqs = []
+    for i in range(40):
+        arm = r.choice([shared, dna(r.randrange(100, 700), i)])
+        back = list(rc(arm))
+        for at in range(r.randrange(1, 25), len(back), r.choice([20, 60, 10_000])):
+            back[at] = "A"
+        unit = dna(30, i)
+        seqs.append(dna(r.randrange(0, 300), i + 50) + arm + r.choice(["", "N" * 60, dna(150, i + 100), unit * 40 + rc(unit) * 40]) + "".join(back) + dna(r.randrange(0, 300), i + 150))
+    body = "".join(seqs)
+    todo = sorted((a, min(a + r.choice([30, 47, 48, 300, 1000, 2500]), len(body))) for a in range(0, len(body), 150))
+    for cfg in (small, replace(small, bucket_cap=3, hits_per_window=2), replace(small, sketch=Sketch(11, 5, False), min_matches=4, min_arm=60)):
+        want = [(i, h) for i, (a, z) in enumerate(todo) if (h := I.window_hits(body[a:z], cfg))]
+        for most in (1, 500, K.AT_ONCE):
+            monkeypatch.setattr(K, "AT_ONCE", most)
+            assert [x for x in I.block_hits(body.encode(), todo, cfg) if x[1]] == want
+        assert len(want) > 20
+        assert not list(I.block_hits(b"", [(0, 0)], cfg)) and not list(I.block_hits(b"ACGT" * 3, [(0, 12)], cfg))
+
+
+def test_clusters_are_many_tasks_work_and_no_group_each(spark):
+    rows = [(f"c{i}", 1000, 50, 900, 0, i, 1, 500, 1500) for i in range(400)] + [(f"c{i}", 1010, 60, 800, 0, -1, 1, 400, 1600) for i in range(400)]
+    c = spark.createDataFrame(rows, "contig string, break_pos long, matches long, score long, win_start long, bin long, grp int, start long, `end` long")
+    got = I.dedup_b(c, AssemblyConfig()).select("bin", F.spark_partition_id().alias("task")).collect()
+    assert sorted(x["bin"] for x in got) == list(range(400))
+    assert len({x["task"] for x in got}) > 4  # small rows had all been put into one task
