@@ -342,6 +342,35 @@ def test_bands_are_proven_without_widening_them_to_the_gaps_bound(monkeypatch):
         assert align.outside([(a, b)], 2, reach)[0] == align.outside([(a, b)], 2, reach, 20_000)[0]
 
 
+def test_narrow_bands_hold_every_best_path(monkeypatch):
+    """Bands that are known before any alignment are as good as the whole matrix, also where repeats make other diagonals cheap."""
+    from revstrand.operators import align
+
+    rng = np.random.default_rng(12)
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    changed = lambda a, share: np.where(rng.random(len(a)) < share, rng.choice(letters, len(a)), a).astype(np.uint8)
+    pairs = []
+    for share in (0.05, 0.2, 0.3):
+        a = rng.choice(letters, 700)
+        unit = np.tile(rng.choice(letters, 23), 20)
+        mixed = np.concatenate([a[:200], np.tile(rng.choice(letters, 3), 40), a[200:400]])
+        for x in (a, unit, mixed):
+            b = changed(x, share)
+            pairs += [(x, b), (x[9:], b[: len(b) - 17]), (np.concatenate([x, a[:40]]), np.concatenate([a[30:45], b])), (x, np.concatenate([b[:150], b[171:]]))]
+    whole = [align._decoded(int(align._lanes([p], max(map(len, p)))[0])) for p in pairs]
+    bands = [align.narrow_band(*p) for p in pairs]
+    known = [(p, b, w) for p, b, w in zip(pairs, bands, whole) if b is not None]
+    assert len(known) > len(pairs) // 3 and all(align._decoded(int(align._lanes([p], b)[0])) == w for p, b, w in known)
+    assert align.align(pairs) == whole
+    # arms as long as those of contigs, a fifth of their bases changed: one alignment in a small band, nothing outside is followed
+    a = rng.choice(letters, 6000)
+    seen, lanes = [], align._lanes
+    monkeypatch.setattr(align, "_lanes", lambda some, band: seen.append((len(some), band)) or lanes(some, band))
+    monkeypatch.setattr(align, "outside", None)
+    got = align.align([(a, changed(a, 0.25)), (a, changed(a, 0.1)), (a[20:], changed(a, 0.1)[:-35])])
+    assert sum(n for n, _ in seen) == 3 and max(b for _, b in seen) <= 64 and all(x[1] > 4800 for x in got)
+
+
 def test_edits_of_many_pairs_in_step():
     rng = np.random.default_rng(12)
     letters, pairs = np.frombuffer(b"ACGT", np.uint8), [(b"", b""), (b"", b"AC"), (b"ACGTA", b""), (b"A", b"C")]
