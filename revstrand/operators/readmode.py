@@ -43,8 +43,13 @@ def _called(read_id: str, seq: str, cfg: ReadConfig, shared: dict | None = None)
     f = K.detect(a, cfg, shared)
     if f is None:
         return None, None, None
-    row = dict.fromkeys(_CALLS.names) | {"read_id": read_id, "len": len(a), "coarse_split": f.split, "matches": f.matches, "span_p1": f.span, "coarse_score": f.score, "arm_end": f.arm_end, "arm_start_right": f.arm_start_right, "bin": f.bin}
     refined = lambda mode: K._kept(shared, ("refined", cfg.refine, mode, f.split, f.span, f.arm_end, f.arm_start_right), lambda: K.refine(a, f, cfg, mode))
+    return _row(read_id, a, f, cfg, refined)
+
+
+def _row(read_id: str, a: np.ndarray, f: K.Fold, cfg: ReadConfig, refined) -> tuple[dict, K.Fold, K.Refined | None]:
+    """A read's row with its foldback and the refinement; refined(mode) gives that."""
+    row = dict.fromkeys(_CALLS.names) | {"read_id": read_id, "len": len(a), "coarse_split": f.split, "matches": f.matches, "span_p1": f.span, "coarse_score": f.score, "arm_end": f.arm_end, "arm_start_right": f.arm_start_right, "bin": f.bin}
     hifi = refined("hifi")
     r = (refined("ont") or hifi) if cfg.refine.mode == "ont" else hifi
     if hifi is not None and r is not None:
@@ -54,6 +59,20 @@ def _called(read_id: str, seq: str, cfg: ReadConfig, shared: dict | None = None)
     return row, f, r
 
 
+#: Reads that are refined together.
+TOGETHER = 64
+
+
+def call_reads(reads: list[tuple[str, str]], cfg: ReadConfig) -> list[dict]:
+    """Rows of the reads with a foldback, as `call_read` gives them; reads are refined together where edits are counted."""
+    out = []
+    for i in range(0, len(reads), TOGETHER):
+        some = [(name, a, f) for name, a in ((name, K.as_array(seq)) for name, seq in reads[i : i + TOGETHER]) if (f := K.detect(a, cfg))]
+        ont = K.refine_many([x[1:] for x in some], cfg, "ont") if cfg.refine.mode == "ont" else [None] * len(some)
+        out += [_row(name, a, f, cfg, lambda mode, a=a, f=f, r=r: r if mode == "ont" else K.refine(a, f, cfg, mode))[0] for (name, a, f), r in zip(some, ont)]
+    return out
+
+
 def calls(reads: DataFrame, cfg: ReadConfig) -> DataFrame:
     """One row per read(read_id, seq) with a coarse foldback; refined columns are null where refinement finds nothing.
 
@@ -62,7 +81,7 @@ def calls(reads: DataFrame, cfg: ReadConfig) -> DataFrame:
 
     def go(batches):
         for b in batches:
-            rows = [r for i, s in zip(b.column("read_id").to_pylist(), b.column("seq").to_pylist()) if s and (r := call_read(i, s, cfg))]
+            rows = call_reads([x for x in zip(b.column("read_id").to_pylist(), b.column("seq").to_pylist()) if x[1]], cfg)
             yield pa.RecordBatch.from_pylist(rows, schema=_CALLS)
 
     return reads.select("read_id", "seq").mapInArrow(go, CALLS)

@@ -342,6 +342,36 @@ def test_bands_are_proven_without_widening_them_to_the_gaps_bound(monkeypatch):
         assert align.outside([(a, b)], 2, reach)[0] == align.outside([(a, b)], 2, reach, 20_000)[0]
 
 
+def test_splits_are_left_out_only_by_bounds(monkeypatch):
+    """The first best split is that of all splits, of sequences by themselves and together, and few splits are aligned."""
+    rng = np.random.default_rng(6)
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    todo, want = [], []
+    for t in range(60):
+        arm, around = int(rng.integers(20, 120)), int(rng.integers(1, 30))
+        x = rng.choice(letters[: 2 if t % 5 == 0 else 4], arm + around + 12)
+        y = K.revcomp(x)
+        y = np.where(rng.random(len(y)) < (0, 0.02, 0.1, 0.3)[t % 4], rng.choice(letters, len(y)), y).astype(np.uint8)
+        at = int(rng.integers(0, len(y)))
+        a = np.concatenate([x, rng.choice(letters, int(rng.integers(0, 40))), y[:at], rng.choice(letters, t % 3), y[at:]])
+        mid = min(max((len(a) + int(rng.integers(-8, 8))) // 2, arm + around), len(a) - arm - around)
+        splits = np.arange(mid - around, mid + around + 1)
+        edits = K.arm_edits(a, int(splits[0]), len(splits), arm)
+        for band in (arm, max(arm // 4, 1)):
+            todo.append((a, splits, arm, band))
+            want.append((int(edits.min()), int(edits.argmin())) if edits.min() <= band else band + 1)
+    alone, together = [K._first_best(*x) for x in todo], K._answered([K._best_split(*x) for x in todo])
+    assert alone == together and [g if isinstance(w, tuple) else g[0] for g, w in zip(alone, want)] == want
+    # arms with a random gap, as many edits as there are splits: a twentieth of the splits' cells
+    arm = rng.choice(letters, 600)
+    a = np.concatenate([arm, rng.choice(letters, 400), K.revcomp(arm)])
+    cells, seen = [], K.free_steps
+    monkeypatch.setattr(K, "free_steps", lambda asked, half: cells.append(sum(x.size for x, _ in asked) * (2 * half + 1)) or seen(asked, half))
+    monkeypatch.setattr(K, "EQUAL_CELLS", 1 << 12)
+    got = K._first_best(a, np.arange(700, 901), 650, 200)
+    assert got == (int((e := K.arm_edits(a, 700, 201, 650)).min()), int(e.argmin())) and sum(cells) * 20 < 201 * 650 * 650
+
+
 def test_narrow_bands_hold_every_best_path(monkeypatch):
     """Bands that are known before any alignment are as good as the whole matrix, also where repeats make other diagonals cheap."""
     from revstrand.operators import align
