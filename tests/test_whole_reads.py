@@ -7,7 +7,7 @@ from revstrand.functions import synth as Y
 from revstrand.operators import irmode
 from revstrand.operators import readmode as R
 from revstrand.plans import assembly, coarse
-from revstrand.sources.contigs import CHUNK, pieces
+from revstrand.sources.contigs import CHUNK, parts, pieces
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +63,13 @@ def test_one_detection_and_time_linear_in_the_contig(spark):
     assert size["c"] <= 200_000 * 1.25 + 4 * CHUNK and size["d"] <= 800_000 * 1.25 + 11 * CHUNK
     plan = irmode.call_irs(rows, cfg)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") <= 4  # pieces and arms; hits are read, not found again
+
+
+def test_sequences_are_not_broadcast(spark):
+    """Contigs made from a few ids look small to the planner, whatever their length."""
+    ids = spark.range(0, 2)
+    made = ids.mapInArrow(lambda batches: batches, "id long").selectExpr("concat('c', id) AS contig", "repeat('ACGT', 20000) AS seq")
+    need = ids.selectExpr("concat('c', id) AS contig", "60000L AS lo", "70000L AS hi")
+    got = parts(need, made)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["contig"], r["start"], len(r["part"])) for r in got.collect()) == [(c, at, n) for c in ("c0", "c1") for at, n in ((0, CHUNK - 60000), (CHUNK, 70000 - CHUNK))]
